@@ -11,6 +11,7 @@ A batch never leaves its task, so nothing is shuffled.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,17 +22,18 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 #: A batch is packed when it holds so many tokens; memory of a task is bounded by it and its longest text.
 BATCH_TOKENS = 1 << 20
-#: At most so many words are kept with their ids by one worker.
-CACHE_WORDS = 300_000
+#: A worker keeps at most so many pieces of text with their ids; then only the first KEEP_WORDS stay, which frequent ones are among.
+CACHE_WORDS, KEEP_WORDS = 700_000, 200_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokenizer:
     """Ids of a word-level BPE vocabulary file, as little-endian unsigned 32-bit bytes.
 
-    Texts of plain Latin letters are split by the vocabulary's own pattern and
-    looked up word by word; any other text goes to the library as it is. Both
-    ways give the same ids.
+    Texts of plain Latin letters are split at white space, which no token
+    crosses, and looked up piece by piece; new pieces are encoded together and
+    told apart by the tokens that end a word. Any other text goes to the library
+    as it is. Both ways give the same ids.
     """
 
     def __init__(self, path: str):
@@ -43,25 +45,35 @@ class WordTokenizer:
         self.cache: dict[str, bytes] = {}
         self.plain = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
         self.words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+").findall
-
-    def _raw(self, text: str) -> bytes:
-        return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ends = self.full.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(ends.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in ends.items() if t.endswith("</w>")]] = True
+
+    def _raw(self, text: str) -> np.ndarray:
+        return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        ids = self._raw(" ".join(new))
+        last = np.flatnonzero(self.ends[ids]) + 1  # a word's last token
+        upto = last[np.cumsum([len(self.words(p)) for p in new]) - 1].tolist()
+        lo = 0
+        for p, hi in zip(new, upto, strict=True):
+            self.cache[p] = ids[lo:hi].tobytes()
+            lo = hi
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text or not self.plain(text):
-            return self._raw(text)
-        words, cache = self.words(text.lower()), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in cache})
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.full.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+            return self._raw(text).tobytes()
+        parts, cache = text.lower().split(), self.cache
+        got = list(map(cache.get, parts))
+        if None in got:
+            at = [i for i, g in enumerate(got) if g is None]
+            if len(cache) + len(at) > CACHE_WORDS:
+                self.cache = cache = dict(itertools.islice(cache.items(), KEEP_WORDS))
+            self._learn(list({parts[i] for i in at}))
+            for i in at:
+                got[i] = cache[parts[i]]
+        return b"".join(got)
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
