@@ -31,17 +31,20 @@ class WordTokenizer:
     """Ids of a word-level BPE vocabulary file, as little-endian unsigned 32-bit bytes.
 
     Texts of plain Latin letters are split at white space, which no token
-    crosses, and looked up piece by piece; new pieces are encoded together and
-    told apart by the tokens that end a word. Any other text goes to the library
-    as it is. Both ways give the same ids.
+    crosses, and looked up chunk by chunk. New chunks are split into the
+    vocabulary's words; new words are encoded together, without the steps that
+    change nothing in them, and told apart by the tokens that end a word. Any
+    other text goes to the library as it is. Both ways give the same ids.
     """
 
     def __init__(self, path: str):
         import re
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.full.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[str, bytes] = {}
         self.plain = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
         self.words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+").findall
@@ -49,26 +52,28 @@ class WordTokenizer:
         self.ends = np.zeros(max(ends.values()) + 1, dtype=bool)
         self.ends[[i for t, i in ends.items() if t.endswith("</w>")]] = True
 
-    def _raw(self, text: str) -> np.ndarray:
-        return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
     def _learn(self, new: list[str]) -> None:
-        ids = self._raw(" ".join(new))
-        last = np.flatnonzero(self.ends[ids]) + 1  # a word's last token
-        upto = last[np.cumsum([len(self.words(p)) for p in new]) - 1].tolist()
-        lo = 0
-        for p, hi in zip(new, upto, strict=True):
-            self.cache[p] = ids[lo:hi].tobytes()
-            lo = hi
+        cache = self.cache
+        split = [self.words(p) for p in new]
+        words = list({w for ws in split for w in ws if w not in cache})
+        if words:
+            ids = np.asarray(self.bare.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+            lo, raw = 0, ids.tobytes()
+            for w, hi in zip(words, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                cache[w] = raw[lo:hi]
+                lo = hi
+        for p, ws in zip(new, split, strict=True):
+            if len(ws) > 1:
+                cache[p] = b"".join([cache[w] for w in ws])
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text or not self.plain(text):
-            return self._raw(text).tobytes()
+            return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         parts, cache = text.lower().split(), self.cache
         got = list(map(cache.get, parts))
         if None in got:
             at = [i for i, g in enumerate(got) if g is None]
-            if len(cache) + len(at) > CACHE_WORDS:
+            if len(cache) + 2 * len(at) > CACHE_WORDS:
                 self.cache = cache = dict(itertools.islice(cache.items(), KEEP_WORDS))
             self._learn(list({parts[i] for i in at}))
             for i in at:
