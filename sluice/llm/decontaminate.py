@@ -9,9 +9,6 @@ most document positions without a row for each.
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,14 +87,12 @@ def overlaps(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w")).where(F.col("doc_id").isNotNull())
     rows = rows.select("doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     # explode_outer: for explode, the optimizer would put a filter that computes all hashes anew below it.
-    # Rows of positions live only inside the generated code of one stage; the bit map filters them there.
+    # The second explode keeps the bit map's filter from being merged with the seeds' code, which then is too long for the JVM to compile.
+    # Seeds that would run over a document's end leave tokens out and equal none of the benchmark's.
     reach = F.size("h") - (min(m[-1] for m in masks) + 1)
-    at = rows.select("doc_id", "h", F.explode_outer(F.when(reach >= 0, F.sequence(F.lit(0), reach))).alias("at"))
-    doc_seeds = [F.when(F.col("at") + m[-1] < F.size("h"), _seed(F.col("h"), F.col("at"), m, n)) for n, m in enumerate(masks)]
-    at = at.select("doc_id", "h", "at", *[s.alias(f"seed{n}") for n, s in enumerate(doc_seeds)])
-    at = at.where(functools.reduce(operator.or_, [_held(bits, F.col(f"seed{n}")) for n in range(len(masks))]))
-    pairs = F.array(*[F.struct(F.lit(n).alias("mask"), F.col(f"seed{n}").alias("seed")) for n in range(len(masks))])
-    hits = at.select("doc_id", "h", "at", F.explode(pairs).alias("f"))
+    at = rows.select("doc_id", "h", F.explode_outer(F.when(reach >= 0, F.sequence(F.lit(0), reach))).alias("at")).where("at is not null")
+    pairs = F.array(*[F.struct(F.lit(n).alias("mask"), _seed(F.col("h"), F.col("at"), m, n).alias("seed")) for n, m in enumerate(masks)])
+    hits = at.select("doc_id", "h", "at", F.explode(pairs).alias("f")).where(_held(bits, F.col("f.seed")))
     spans = [m[-1] + 1 for m in masks]
     span = F.coalesce(*[F.when(F.col("mask") == n, F.lit(s)) for n, s in enumerate(spans)])
     # Only the tokens that a window over the hit can reach go on.
