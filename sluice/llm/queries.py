@@ -34,11 +34,14 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+def packed_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(packing.pack(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed")
