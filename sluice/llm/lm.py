@@ -247,18 +247,30 @@ class Net:
 
 @dataclass
 class Model:
-    """What every task holds: bounded by TABLE_WORDS and the net's size."""
+    """What every task holds: bounded by TABLE_WORDS and the net's size.
 
-    table: dict[bytes, tuple[int, int]]
+    ``index`` numbers the words of the table; ``numbers`` and ``logs`` hold for
+    each, and last for any other word, the net's token and log10(count + 1).
+    """
+
+    index: dict[bytes, int]
+    numbers: np.ndarray
+    logs: np.ndarray
     classes: int
     weights: bytes
     total: int
     distinct: int
     shape_total: list[int]
 
-    def ids(self, w: list[bytes]) -> np.ndarray:
-        base, get = self.classes * CLASS_SIZE, self.table.get
-        return np.array([e[0] if (e := get(x)) else base + shape(x) for x in w], dtype=np.int64)
+    def ids(self, w: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The net's tokens, the log counts, and the places of words beyond the table, whose log count is left 0."""
+        get, none = self.index.get, len(self.index)
+        at = np.array([get(x, none) for x in w], dtype=np.int64)
+        ids = self.numbers[at]
+        rest = np.flatnonzero(at == none)
+        if len(rest):
+            ids[rest] = [self.classes * CLASS_SIZE + shape(w[i]) for i in rest.tolist()]
+        return ids, self.logs[at], rest
 
 
 def is_training(doc_id: object, folds: int = 7, held_out: int = 2) -> bool:
@@ -300,24 +312,43 @@ def _by_shape(counts: DataFrame, frequent: set[bytes]) -> list[int]:
     return [found.get(s, 0) + 1 for s in range(SHAPES)]
 
 
+def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words, ``most`` at most, by falling count.
+
+    A histogram of counts finds the count from which on they fit, so that no task
+    sends more than belongs to the result.
+    """
+    bucket = F.floor(F.log2("c") * 16).cast("int")
+    total, least = 0, None
+    for r in counts.groupBy(bucket.alias("b")).count().orderBy(F.desc("b")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        least = r["b"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["w"]), r["c"]) for r in counts.where(bucket >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def train(docs: DataFrame, counts: DataFrame) -> Model:
     """``docs`` (doc_id, text) are the training documents, ``counts`` their word counts."""
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = [(bytes(r["w"]), r["c"]) for r in counts.orderBy(F.desc("c"), "w").limit(TABLE_WORDS).collect()]
+    top = frequent_words(counts, TABLE_WORDS)
     classes = max(1, min(FREQUENT, len(top)) // CLASS_SIZE)
     frequent = top[: classes * CLASS_SIZE]
     base = classes * CLASS_SIZE
-    table = {w: (i if i < base else base + shape(w), c) for i, (w, c) in enumerate(top)}
+    numbers = np.array([*(i if i < base else base + shape(w) for i, (w, _) in enumerate(top)), base], dtype=np.int64)
+    logs = np.log10(np.array([*(c for _, c in top), 0], dtype=np.float64) + 1)
     by_shape = _by_shape(counts, {w for w, _ in frequent})
     unigram = np.zeros(base + SHAPES)
     unigram[: len(frequent)] = [c for _, c in frequent]
     unigram[base:] = by_shape
-    model = Model(table, classes, Weights.fresh(classes, unigram).pack(), sums["n"], sums["v"], by_shape)
+    model = Model({w: i for i, (w, _) in enumerate(top)}, numbers, logs, classes, Weights.fresh(classes, unigram).pack(), sums["n"], sums["v"], by_shape)
 
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS)
     warm = docs.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", "text").collect()
     net = Net(Weights.unpack(model.weights, classes), classes)
-    texts = [model.ids(words(r["text"])) for r in sorted(warm, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"] or ""))]
+    texts = [model.ids(words(r["text"]))[0] for r in sorted(warm, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"] or ""))]
     for p in range(WARM_PASSES if texts else 0):
         for i in range(0, len(texts), LANES // 4):  # few lanes: many updates
             net.run(texts[i : i + LANES // 4], WARM_RATE / (1 + p))
@@ -327,7 +358,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     def learn(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = Net(Weights.unpack(model.weights, classes), classes), 0
         for b in rows:
-            texts = [model.ids(words(t.as_py())) for t in b.column(1)]
+            texts = [model.ids(words(t.as_py()))[0] for t in b.column(1)]
             own.run(texts, RATE)
             n += sum(map(len, texts))
         flat = np.frombuffer(Weights(own.w).pack(), dtype="<f4")
@@ -375,19 +406,16 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
         net = Net(Weights.unpack(m.weights, m.classes), m.classes)
         base = m.classes * CLASS_SIZE
         shape_log = np.log10(np.array(m.shape_total, dtype=np.float64))
-        logs = {w: float(np.log10(c + 1)) for w, (_, c) in m.table.items()}
         number = TaskContext.get().partitionId() << 40
         for b in batches:
             texts, out = [], []
             for t in b.column(1):
                 w = words(t.as_py())
-                ids = m.ids(w)
+                ids, known, places = m.ids(w)
                 texts.append(ids)
-                each = [logs.get(x) for x in w]
-                rest = Counter(x for x, e in zip(w, each, strict=True) if e is None)
-                known = np.array([e or 0.0 for e in each])
+                rest = Counter(w[i] for i in places.tolist())
                 rare = ids >= base
-                out.append((len(w), len(w) - sum(rest.values()), float(known.sum()), float(known[rare].sum() - shape_log[ids[rare] - base].sum()), list(rest), list(rest.values())))
+                out.append((len(w), len(w) - len(places), float(known.sum()), float(known[rare].sum() - shape_log[ids[rare] - base].sum()), list(rest), list(rest.values())))
             lp = net.run(texts)
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             cols[3] = [a + b for a, b in zip(cols[3], lp.tolist(), strict=True)]
