@@ -33,9 +33,32 @@ _EVEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """A mixing of 64-bit numbers, in place."""
+    for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(by)
+        x *= np.uint64(times)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string; numbers go byte by byte of their places, as high bytes are mostly zero."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() if a.itemsize == 1 else np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays))
+
+
+def _unpack(raw: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
+    """The arrays again, of the given types and lengths."""
+    import zstandard
+
+    flat, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8), [], 0
+    for kind, n in kinds:
+        size = np.dtype(kind).itemsize
+        part = flat[at : at + n * size]
+        at += n * size
+        out.append(part if size == 1 else np.ascontiguousarray(part.reshape(size, n).T).view(kind).ravel())
+    return out
 
 
 def _loads(buf: np.ndarray) -> np.ndarray:
@@ -59,7 +82,11 @@ def anchors(buf: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return none, none, none, none.astype(np.uint64)
     u = _loads(buf)
     n = len(buf) - GRAM + 1
-    h = _mix(u[:n] * _EVEN ^ _mix(u[8 : n + 8] + u[12 : n + 12] * np.uint64(0xD6E8FEB86659FD93)))
+    h = u[12 : n + 12] * np.uint64(0xD6E8FEB86659FD93)
+    h += u[8 : n + 8]
+    h *= np.uint64(0xA0761D6478BD642F)
+    h ^= u[:n] * _EVEN
+    _mix(h)
     # Bytes 12 to 19 and 8 to 15 overlap; together with the first eight they are the twenty of the anchor.
     low = np.uint64(CHUNK * 2 - 1)
     m = (h & ~low) | np.arange(n, dtype=np.uint64)
@@ -198,7 +225,7 @@ def equal_windows(ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarr
     return out
 
 
-_PACK = "shard int, n int, ctx binary, span binary, least binary, member binary"
+_PACK = "shard int, n int, m int, raw binary"
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -210,7 +237,7 @@ def spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # follows the cluster and the input
     bits = min(16, max(8, (4 * tasks - 1).bit_length()))
-    shards = max(64, 8 * tasks)
+    shards = max(64, tasks)
     sent = spark.sparkContext.broadcast(_shared_map(docs, bits, tasks))
     drop = np.uint64(64 - MAP_BITS)
 
@@ -225,7 +252,7 @@ def spans(docs: DataFrame) -> DataFrame:
                 continue
             ctx = _contexts(buf, p, first, last)
             off = np.stack([p - last, p - first], axis=1).astype(np.uint8)  # least and largest offset
-            mark = _mix((ctx.view("<u8") * (_EVEN * np.arange(3, 23, 2, dtype=np.uint64))).sum(1, dtype=np.uint64) ^ h ^ _mix(off[:, 0].astype(np.uint64) * np.uint64(64) + off[:, 1]))
+            mark = _mix((ctx.view("<u8") * (_EVEN * np.arange(3, 23, 2, dtype=np.uint64))).sum(1, dtype=np.uint64) ^ h ^ _mix(off[:, 0].astype(np.uint64) * np.uint64(64) + off[:, 1] + np.uint64(1)))
             doc = ids[piece[p]]
             _, one, which = np.unique(mark, return_index=True, return_inverse=True)  # equal contexts go once
             least = np.full(len(one), np.iinfo(np.int64).max)
@@ -235,47 +262,41 @@ def spans(docs: DataFrame) -> DataFrame:
             place = np.empty(len(one), dtype=np.int64)
             place[order_one] = np.arange(len(one))
             cuts = np.searchsorted(shard_one[order_one], np.arange(shards + 1))
-            start = offs[piece[p]] + p - starts[piece[p]]  # the anchor's place in its text
             home = place[which]
-            order = np.argsort(home, kind="stable")
-            member = np.stack([home, doc, sigs[piece[p]], start], axis=1)[order]
-            cut_m = np.searchsorted(member[:, 0], cuts)
-            full = np.flatnonzero(np.diff(cuts))
-            cols: list[list] = [[], [], [], [], [], []]
+            order = np.argsort(home, kind="stable")  # members in the order of their contexts
+            of = piece[p][order]
+            doc, sig = doc[order], sigs[of].astype("<i4")
+            start = offs[of] + p[order] - starts[of]  # the anchor's place in its text
+            cut_m = np.searchsorted(home[order], cuts)
+            count = np.bincount(home, minlength=len(one)).astype("<i4")
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            raw = []
             for k in full:
-                o = one[order_one[cuts[k] : cuts[k + 1]]]
-                m = member[cut_m[k] : cut_m[k + 1]].copy()
-                m[:, 0] -= cuts[k]
-                for c, v in zip(cols, (int(k), len(o), ctx[o].tobytes(), off[o].tobytes(), least[order_one[cuts[k] : cuts[k + 1]]].tobytes(), m.astype("<i8").tobytes()), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int32()] + [pa.binary()] * 4, strict=True)], names=["shard", "n", "ctx", "span", "least", "member"])
+                o, m = order_one[cuts[k] : cuts[k + 1]], slice(cut_m[k], cut_m[k + 1])
+                raw.append(_pack(ctx[one[o]].ravel(), off[one[o]].ravel(), least[o], count[cuts[k] : cuts[k + 1]], doc[m], sig[m], start[m]))
+            cols = [pa.array(full, pa.int32()), pa.array(np.diff(cuts)[full].astype(np.int32)), pa.array(np.diff(cut_m)[full].astype(np.int32)), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["shard", "n", "m", "raw"])
 
     def judge(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(group: list[tuple]) -> pa.RecordBatch:
-            ctx = np.frombuffer(b"".join(g[2] for g in group), dtype=np.uint8).reshape(-1, LEFT + LENGTH)
-            off = np.frombuffer(b"".join(g[3] for g in group), dtype=np.uint8).reshape(-1, 2)
-            least = equal_windows(ctx, off[:, 0], off[:, 1], np.frombuffer(b"".join(g[4] for g in group), dtype="<i8"))
-            docs_out, sigs_out, runs = [], [], []
-            base = 0
-            for g in group:
-                m = np.frombuffer(g[5], dtype="<i8").reshape(-1, 4)
-                gone = least[base + m[:, 0]] < m[:, 1, None]
-                base += g[1]
-                # Windows by start: the largest offset first. Runs of removed ones become byte ranges.
-                gone = np.pad(gone[:, ::-1], ((0, 0), (1, 1))).astype(np.int8)
-                step = np.diff(gone, axis=1)
-                r, a = np.nonzero(step == 1)
-                _, z = np.nonzero(step == -1)
-                at = m[r, 3] - (ROOM - 1)
-                docs_out.append(m[r, 1])
-                sigs_out.append(m[r, 2])
-                runs.append(np.stack([at + a, at + z - 1 + LENGTH], axis=1))
-            d, s, x = np.concatenate(docs_out), np.concatenate(sigs_out), np.concatenate(runs)
-            order = np.lexsort((x[:, 0], s, d))
-            d, s, x = d[order], s[order], x[order]
-            new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])]) if len(d) else np.zeros(0, dtype=int)
-            ends = np.r_[new[1:], len(d)].astype(int) if len(d) else new
-            return pa.RecordBatch.from_arrays([pa.array(d[new], pa.int64()), pa.array(s[new], pa.int64()), pa.array([_merged(x[a:z]).astype("<i8").tobytes() for a, z in zip(new, ends, strict=True)], pa.binary())], names=["doc", "sig", "runs"])
+            parts = [_unpack(raw, ("u1", 80 * n), ("u1", 2 * n), ("<i8", n), ("<i4", n), ("<i8", m), ("<i4", m), ("<i8", m)) for _, n, m, raw in group]
+            ctx, off, low, count, doc, sig, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+            ctx, off = ctx.reshape(-1, LEFT + LENGTH), off.reshape(-1, 2)
+            least = equal_windows(ctx, off[:, 0], off[:, 1], low)
+            # Windows by start: the largest offset first. Runs of removed ones become byte ranges.
+            gone = least[np.repeat(np.arange(len(count)), count)] < doc[:, None]
+            step = np.diff(np.pad(gone[:, ::-1], ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            r, first = np.nonzero(step == 1)
+            _, past = np.nonzero(step == -1)
+            at, size = start[r] - (ROOM - 1) + first, (past - first - 1 + LENGTH).astype(np.uint8)
+            doc, sig = doc[r], sig[r]
+            to = (_mix(doc.astype(np.uint64)) % np.uint64(tasks)).astype(np.int32)
+            order = np.lexsort((at, sig, doc, to))
+            doc, sig, at, size = doc[order], sig[order], at[order], size[order]
+            cuts = np.searchsorted(to[order], np.arange(tasks + 1))
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            raw = [_pack(doc[a:z], sig[a:z], at[a:z], size[a:z]) for a, z in zip(cuts[full].tolist(), cuts[1:][full].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.diff(cuts)[full].astype(np.int32)), pa.array(raw, pa.binary())], names=["to", "n", "raw"])
 
         at, group = None, []
         for b in rows:
@@ -289,32 +310,29 @@ def spans(docs: DataFrame) -> DataFrame:
             yield out(group)
 
     def join(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(d: int, s: int, raw: list[bytes]) -> tuple[int, int, bytes]:
-            x = np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, 2)
-            return d, s, _merged(x[np.argsort(x[:, 0], kind="stable")]).astype("<i8").tobytes()
+        def out(group: list[tuple]) -> pa.RecordBatch:
+            parts = [_unpack(raw, ("<i8", n), ("<i4", n), ("<i8", n), ("u1", n)) for _, n, raw in group]
+            doc, sig, at, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((at, sig, doc))
+            doc, sig, x = doc[order], sig[order], np.stack([at, at + size], axis=1)[order]
+            new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1])])
+            runs = [_merged(x[a:z]).astype("<i8").tobytes() for a, z in zip(new.tolist(), [*new[1:].tolist(), len(doc)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(doc[new], pa.int64()), pa.array(sig[new], pa.int32()), pa.array(runs, pa.binary())], names=["doc", "sig", "runs"])
 
-        at, raw, done = None, [], []
+        at, group = None, []
         for b in rows:
-            for d, s, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (d, s) != at:
-                    if raw:
-                        done.append(out(*at, raw))
-                    at, raw = (d, s), []
-                raw.append(x)
-            yield _batch(done)
-            done = []
-        if raw:
-            yield _batch([out(*at, raw)])
-
-    kind = "doc long, sig long, runs binary"
-    packed = docs.mapInArrow(emit, _PACK).repartition(2 * tasks, "shard").sortWithinPartitions("shard")
-    parts = packed.mapInArrow(judge, kind)
-    return parts.repartition(tasks, "doc", "sig").sortWithinPartitions("doc", "sig").mapInArrow(join, kind)
-
+            for g in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if g[0] != at:
+                    if group:
+                        yield out(group)
+                    at, group = g[0], []
+                group.append(g)
+        if group:
+            yield out(group)
 
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc", "sig", "runs"])
+    packed = docs.mapInArrow(emit, _PACK).repartition(tasks, "shard").sortWithinPartitions("shard")
+    parts = packed.mapInArrow(judge, "to int, n int, raw binary")
+    return parts.repartition(tasks, "to").sortWithinPartitions("to").mapInArrow(join, "doc long, sig int, runs binary")
 
 
 def _merged(x: np.ndarray) -> np.ndarray:
@@ -337,7 +355,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     are ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("sig", F.xxhash64("text"))
+    rows = rows.withColumn("sig", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
     lost = cut(spans(rows))
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
