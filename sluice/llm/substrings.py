@@ -252,7 +252,7 @@ def spans(docs: DataFrame) -> DataFrame:
                 continue
             ctx = _contexts(buf, p, first, last)
             off = np.stack([p - last, p - first], axis=1).astype(np.uint8)  # least and largest offset
-            mark = _mix((ctx.view("<u8") * (_EVEN * np.arange(3, 23, 2, dtype=np.uint64))).sum(1, dtype=np.uint64) ^ h ^ _mix(off[:, 0].astype(np.uint64) * np.uint64(64) + off[:, 1] + np.uint64(1)))
+            mark = _mix(_mix(ctx.view("<u8") ^ (_EVEN * np.arange(1, 11, dtype=np.uint64))).sum(1, dtype=np.uint64) ^ h ^ _mix(off[:, 0].astype(np.uint64) * np.uint64(64) + off[:, 1] + np.uint64(1)))
             doc = ids[piece[p]]
             _, one, which = np.unique(mark, return_index=True, return_inverse=True)  # equal contexts go once
             least = np.full(len(one), np.iinfo(np.int64).max)
