@@ -8,6 +8,7 @@ All of it is DataFrame code, with no Python on the executors.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -75,7 +76,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels = max(r.host.count(".") + 1 for _, r in order)
     lengths = sorted({len(r.path) for _, r in order})
-    table = spark.createDataFrame([(i, r.text, r.verdict) for i, r in order], "rank int, rule string, rule_verdict string")
+    listed = json.dumps([{"rank": i, "rule": r.text, "rule_verdict": r.verdict} for i, r in order])
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<rank:int,rule:string,rule_verdict:string>>")))
     table = table.withColumn("digest", F.sha2("rule", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
     if len(order) <= BROADCAST_RULES:
         table = F.broadcast(table)
