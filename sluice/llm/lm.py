@@ -30,7 +30,7 @@ FREQUENT, CLASS_SIZE, TABLE_WORDS = 1024, 64, 131_072
 SHAPES = 16
 HIDDEN = 16
 #: Steps of truncated backpropagation, and texts side by side.
-WINDOW, LANES = 24, 512
+WINDOW, LANES = 24, 1024
 #: Training documents, the first by a hash of the id, of the warm-up; passes over them; learning rates of warm-up and of the pass over all.
 WARM_DOCS, WARM_PASSES, WARM_RATE, RATE = 1_000, 3, 8e-3, 1.5e-3
 FLUSH_WORDS = 200_000
@@ -216,15 +216,16 @@ class Net:
             np.random.default_rng(1).shuffle(blocks)
         for block in blocks:
             size = np.array([len(texts[i]) for i in block])
+            flat_texts = np.concatenate([texts[i] for i in block]) if len(block) else np.zeros(0, dtype=np.int64)
+            begin = np.cumsum(size) - size
             h = np.zeros((len(block), HIDDEN), dtype=np.float32)
             last = np.full(len(block), self.start, dtype=np.int64)
             for at in range(0, int(size[0]), WINDOW):
                 live = int(np.searchsorted(-size, -at))  # texts longer than ``at``
-                steps = min(WINDOW, int(size[0]) - at)
-                y = np.full((steps, live), -1, dtype=np.int64)
-                for j in range(live):
-                    part = texts[block[j]][at : at + steps]
-                    y[: len(part), j] = part
+                step = np.arange(at, min(at + WINDOW, int(size[0])))[:, None]
+                inside = step < size[:live]
+                y = np.where(inside, flat_texts[np.where(inside, begin[:live] + step, 0)], -1)
+                steps = len(y)
                 x = np.empty_like(y)
                 x[0] = last[:live]
                 x[1:] = np.where(y[:-1] < 0, self.start, y[:-1])
@@ -273,10 +274,6 @@ class Model:
         return ids, self.logs[at], rest
 
 
-def is_training(doc_id: object, folds: int = 7, held_out: int = 2) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds != held_out
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """Rows (``w``, ``c``): how often each token is in the texts of ``docs`` (doc_id, text)."""
 
@@ -330,8 +327,8 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["w"]), r["c"]) for r in counts.where(bucket >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def train(docs: DataFrame, counts: DataFrame) -> Model:
-    """``docs`` (doc_id, text) are the training documents, ``counts`` their word counts."""
+def prepare(docs: DataFrame, counts: DataFrame) -> Model:
+    """The word table and warm weights. ``docs`` (doc_id, text) are the training documents, ``counts`` their word counts."""
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = frequent_words(counts, TABLE_WORDS)
     classes = max(1, min(FREQUENT, len(top)) // CLASS_SIZE)
@@ -350,20 +347,58 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     net = Net(Weights.unpack(model.weights, classes), classes)
     texts = [model.ids(words(r["text"]))[0] for r in sorted(warm, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"] or ""))]
     for p in range(WARM_PASSES if texts else 0):
-        for i in range(0, len(texts), LANES // 4):  # few lanes: many updates
-            net.run(texts[i : i + LANES // 4], WARM_RATE / (1 + p))
+        for i in range(0, len(texts), LANES // 8):  # few lanes: many updates
+            net.run(texts[i : i + LANES // 8], WARM_RATE / (1 + p))
     model.weights = Weights(net.w).pack()
+    return model
+
+
+_CODED = [("row", "long", pa.int64()), ("n_tokens", "long", pa.int64()), ("n_known", "long", pa.int64()), ("base", "double", pa.float64()), ("rare", "double", pa.float64()), ("ids", "binary", pa.binary()), ("rest", "array<binary>", pa.list_(pa.binary())), ("times", "array<long>", pa.list_(pa.int64())), ("slice", "int", pa.int32()), ("n", "long", pa.int64()), ("raw", "binary", pa.binary())]
+
+
+def encode(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows (doc_id, text, teach) as tokens with their counts; each task also trains a copy of the net on those that teach.
+
+    What a task has learned comes as further rows, its weights in SLICES pieces.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", *[n for n, _, _ in _CODED]]
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        m = sent.value
+        base = m.classes * CLASS_SIZE
+        shape_log = np.log10(np.array(m.shape_total, dtype=np.float64))
+        net, learned = Net(Weights.unpack(m.weights, m.classes), m.classes), 0
+        number, kind = TaskContext.get().partitionId() << 40, pa.int64()
+        for b in batches:
+            kind = b.column(0).type
+            texts, out = [], []
+            for t, teach in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                w = words(t.as_py())
+                ids, known, places = m.ids(w)
+                if teach:
+                    texts.append(ids)
+                rest = Counter(w[i] for i in places.tolist())
+                rare = ids >= base
+                out.append((number, len(w), len(w) - len(places), float(known.sum()), float(known[rare].sum() - shape_log[ids[rare] - base].sum()), ids.astype("<u2").tobytes(), list(rest), list(rest.values()), None, None, None))
+                number += 1
+            net.run(texts, RATE)
+            learned += sum(map(len, texts))
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(_CODED)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, (_, _, k) in zip(cols, _CODED, strict=True)]], names=names)
+        if learned:
+            pieces = [p.tobytes() for p in np.array_split(np.frombuffer(Weights(net.w).pack(), dtype="<f4"), SLICES)]
+            cols = [[None] * SLICES] * (len(_CODED) - 3) + [list(range(SLICES)), [learned] * SLICES, pieces]
+            yield pa.RecordBatch.from_arrays([pa.array([None] * SLICES, kind), *[pa.array(c, k) for c, (_, _, k) in zip(cols, _CODED, strict=True)]], names=names)
+
+    return rows.select("doc_id", "text", "teach").mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{n} {t}" for n, t, _ in _CODED))
 
-    # Every training document: each task goes on from the same weights over its own; the mean, by tokens, is the model.
-    def learn(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = Net(Weights.unpack(model.weights, classes), classes), 0
-        for b in rows:
-            texts = [model.ids(words(t.as_py()))[0] for t in b.column(1)]
-            own.run(texts, RATE)
-            n += sum(map(len, texts))
-        flat = np.frombuffer(Weights(own.w).pack(), dtype="<f4")
-        parts = [p.tobytes() for p in np.array_split(flat, SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array(parts, pa.binary())], names=["slice", "n", "raw"])
+
+def averaged(coded: DataFrame, model: Model) -> bytes:
+    """The mean of the tasks' weights, by the tokens that each has learned from; piece by piece, so that no task holds more than a sum."""
 
     def mean(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[int, np.ndarray]] = {}
@@ -371,15 +406,12 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
             for s, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 old = sums.get(s, (0, 0.0))
                 sums[s] = (old[0] + n, old[1] + n * np.frombuffer(raw, dtype="<f4").astype(np.float64))
-        rows_out = [(s, n, (x / n).astype("<f4").tobytes()) for s, (n, x) in sums.items() if n]
-        cols = list(zip(*rows_out, strict=True)) if rows_out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slice", "n", "raw"])
-
-    kind = "slice int, n long, raw binary"
-    parts = {r["slice"]: bytes(r["raw"]) for r in docs.select("doc_id", "text").mapInArrow(learn, kind).repartition(SLICES, "slice").mapInArrow(mean, kind).collect()}
-    if len(parts) == SLICES:
-        model.weights = b"".join(parts[s] for s in range(SLICES))
-    return model
+        rows_out = [(s, (x / n).astype("<f4").tobytes()) for s, (n, x) in sums.items()]
+        cols = list(zip(*rows_out, strict=True)) if rows_out else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["slice", "raw"])
+
+    parts = coded.where("slice is not null").select("slice", "n", "raw").repartition(SLICES, "slice").mapInArrow(mean, "slice int, raw binary").collect()
+    return b"".join(bytes(r["raw"]) for r in sorted(parts, key=lambda r: r["slice"])) or model.weights
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -390,57 +422,36 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     held out. A null or empty text is the end token alone. Repeated rows stay and
     count. Other columns are ignored. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    training = rows.where(F.col("doc_id").isNotNull() & (fold != held_out))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("teach", F.coalesce(fold != held_out, F.lit(False)))
+    training = rows.where("teach").select("doc_id", "text")
     counts, counts_path = stage(word_counts(training), "counts")
-    model = train(training, counts)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    kinds = [("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rest", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))]
+    model = prepare(training, counts)
+    coded, _ = stage(encode(rows, model), "coded")
+    weights, classes = averaged(coded, model), model.classes
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    texts = coded.where("slice is null")
+    rest = texts.select("row", F.explode(F.arrays_zip("rest", "times")).alias("e")).select("row", F.col("e.rest").alias("w"), F.col("e.times").alias("times"))
+    found = cut(rest.join(counts, "w").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs")))
+    unstage(spark, counts_path)
 
-        m = sent.value
-        net = Net(Weights.unpack(m.weights, m.classes), m.classes)
-        base = m.classes * CLASS_SIZE
-        shape_log = np.log10(np.array(m.shape_total, dtype=np.float64))
-        number = TaskContext.get().partitionId() << 40
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Net(Weights.unpack(weights, classes), classes)
         for b in batches:
-            texts, out = [], []
-            for t in b.column(1):
-                w = words(t.as_py())
-                ids, known, places = m.ids(w)
-                texts.append(ids)
-                rest = Counter(w[i] for i in places.tolist())
-                rare = ids >= base
-                out.append((len(w), len(w) - len(places), float(known.sum()), float(known[rare].sum() - shape_log[ids[rare] - base].sum()), list(rest), list(rest.values())))
-            lp = net.run(texts)
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            cols[3] = [a + b for a, b in zip(cols[3], lp.tolist(), strict=True)]
-            at = list(range(number, number + len(out)))
-            number += len(out)
-            arrays = [b.column(0)] + [pa.array(c, k) for c, (_, k) in zip([at, *cols], kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *[k for k, _ in kinds]])
+            at = b.schema.names.index("ids")
+            lp = net.run([np.frombuffer(x, dtype="<u2").astype(np.int64) for x in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(lp, pa.float64())], names=[*b.schema.names[:at], "net"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    scored, path = stage(rows.mapInArrow(run, f"doc_id {id_type}, row long, n_tokens long, n_known long, base double, model double, rest array<binary>, times array<long>"), "scored")
-    rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("e")).select("row", F.col("e.rest").alias("w"), F.col("e.times").alias("times"))
-    found = rest.join(counts, "w").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
-    found = cut(found)
-    unstage(spark, counts_path)
+    scored = texts.select("doc_id", "row", "n_tokens", "n_known", "base", "rare", "ids").mapInArrow(run, f"doc_id {id_type}, row long, n_tokens long, n_known long, base double, rare double, net double")
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    return (
-        scored.select("doc_id", "row", "n_tokens", "n_known", "base", "model")
-        .join(found, "row", "left")
-        .select(
-            "doc_id",
-            F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out, F.lit(False)).alias("held_out"),
-            "n_tokens",
-            (F.col("n_known") + more).alias("n_known"),
-            F.lit(model.total).cast("long").alias("train_tokens"),
-            (F.col("base") + logs - F.col("n_tokens") * F.log10(F.lit(float(model.total + model.distinct + 1)))).alias("base_score"),
-            (F.col("model") + logs).alias("score"),
-        )
+    return scored.join(found, "row", "left").select(
+        "doc_id",
+        F.coalesce(fold == held_out, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        (F.col("n_known") + more).alias("n_known"),
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("base") + logs - F.col("n_tokens") * F.log10(F.lit(float(model.total + model.distinct + 1)))).alias("base_score"),
+        (F.col("net") + F.col("rare") + logs).alias("score"),
     )
