@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def tumbling(df: DataFrame, time: str, width: str, late: str) -> tuple[DataFrame, Column]:
     """The stream with its watermark, and the bucket's start. Rows without a time are in no bucket."""
     if dict(df.dtypes)[time] == "timestamp_ntz":  # watermarks want an instant
-        df = df.withColumn(time, F.col(time).cast("timestamp"))
+        df = df.withColumn(time, F.col(time).cast("timestamp_ltz"))
     return df.withWatermark(time, late), F.window(F.col(time), width)
 
 

@@ -15,5 +15,5 @@ def test_stream_equals_batch(spark, sf, tmp_path):  # noqa: ANN001
         q.processAllAvailable()
     finally:
         q.stop()
-    want = batch.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("bucket"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("s"))
+    want = batch.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp_ltz")).alias("bucket"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("s"))
     assert sorted(map(tuple, spark.table("buckets").collect())) == sorted(map(tuple, want.collect()))
