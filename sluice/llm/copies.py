@@ -4,7 +4,8 @@ One fingerprint of a whole text moves by many bits when a few words in a hundred
 change. So the shingles of a text are also dealt by hash to small parts, and each
 part has a fingerprint of its own; texts that share most shingles agree on whole
 parts. Candidates come from fingerprints of whole texts within a radius (BK-trees)
-and from equal parts, and each is verified on a sketch of its shingles.
+and from equal parts. Each is judged on sketches of the shingles; where these do
+not settle it, the whole texts are compared.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._common import cut, stage
+from sluice.llm._common import cut, stage, unstage
 from sluice.llm.components import components
 from sluice.llm.simhash import RADIUS, _majority, links, shingle_hashes
 
-#: Parts that a text shows at each of two levels, and the shingles that a part of the upper level holds at least.
-PARTS, PART_SIZE = 16, 8
-#: Least hashes of a text's shingles that stand for it; up to so many shingles the similarity is exact, beyond its error is under 0.04.
+#: Parts that a text shows at each level, levels, and the shingles that a part of the uppermost holds at least; each level halves the parts.
+PARTS, LEVELS, PART_SIZE = 12, 3, 8
+#: Least hashes of a text's shingles that stand for it; up to so many shingles the similarity is exact, beyond its standard error is under 0.04.
 SKETCH = 128
+#: A sketch this far from the wanted similarity settles a pair: over five standard errors.
+MARGIN = 0.18
+#: Up to so many ids of texts to compare are broadcast; they are counted first.
+BROADCAST_IDS = 500_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -42,7 +47,7 @@ def describe(text: str | None, words: int) -> tuple[int, int, list[int], bytes]:
     whole = int(_mixed(mixed.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))[0].astype("<i8"))
     keys = []
     level = max(0, (len(h) // PART_SIZE).bit_length() - 1)
-    for g in (level, level + 1):
+    for g in range(level, level + LEVELS):
         part = h >> np.uint64(64 - g) if g else np.zeros(len(h), dtype=np.uint64)
         n = int(np.searchsorted(part, PARTS))
         if not n:
@@ -64,12 +69,23 @@ def similarity(a: bytes, b: bytes) -> float:
     return float((np.isin(both, x, assume_unique=True) & np.isin(both, y, assume_unique=True)).sum() / len(both))
 
 
+def settled(a: bytes, b: bytes, least: float) -> bool | None:
+    """Whether two sketches show a similarity of ``least``; None if only the whole texts can tell."""
+    s = similarity(a, b)
+    if max(len(a), len(b)) < 8 * SKETCH or abs(s - least) >= MARGIN:
+        return s >= least
+    return None
+
+
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """Rows (``doc_id``, ``component_id``): for each distinct id the smallest id that chains of similar texts reach.
 
-    Texts are linked from a similarity of ``least`` on; texts without words are
-    linked to each other. Rows with a null id are left out; rows of one id are
-    one document. Other columns are ignored. An empty table gives no rows.
+    Texts are linked from a similarity of ``least`` on, which is never judged by
+    less than all their shingles unless a sketch is over five standard errors
+    away from it. Texts that share a part are compared with the smallest and the
+    largest id that show it. Texts without words are linked to each other. Rows
+    with a null id are left out; rows of one id are one document. Other columns
+    are ignored. An empty table gives no rows.
     """
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +101,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # One document stands for all of equal shingles.
     stand = prints.join(first, "whole").where(F.col("doc") == F.col("first")).select("doc", "fp", "keys", "sketch").dropDuplicates(["doc"])
     keyed = stand.select("doc", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep")
+    shared = keyed.groupBy("key").agg(F.array_distinct(F.array(F.min("doc"), F.max("doc"))).alias("reps")).where("size(reps) > 1").select("key", F.explode("reps").alias("rep"))
     by_part = keyed.join(shared, "key").where("doc <> rep").select("doc", "rep")
     fps = cut(stand.groupBy("fp").agg(F.min("doc").alias("rep")))
     by_print = stand.select("doc", "fp").join(fps, "fp").where("doc <> rep").select("doc", "rep")
@@ -95,15 +111,35 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pairs = by_part.unionAll(by_print).unionAll(by_radius).distinct()
     sketches = stand.select("doc", "sketch")
 
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = pa.array([similarity(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(keep)
+            linked = pa.array([settled(x, y, least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), linked], names=["u", "v", "linked"])
 
     both = pairs.join(sketches, "doc").join(sketches.select(F.col("doc").alias("rep"), F.col("sketch").alias("other")), "rep")
-    found = both.select("doc", "rep", "sketch", "other").mapInArrow(verify, "u long, v long")
+    judged = cut(both.select("doc", "rep", "sketch", "other").mapInArrow(judge, "u long, v long, linked boolean").where("linked is null or linked"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str | None, set[int]] = ("", set())  # the join brings pairs of one text together
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                if (text := y.as_py()) != held[0]:
+                    held = text, set(shingle_hashes(text, words))
+                own = set(shingle_hashes(x.as_py(), words))
+                common = len(own & held[1])
+                keep.append(common / (len(own) + len(held[1]) - common) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    open_pairs = judged.where("linked is null").select("u", "v")
+    asked = cut(open_pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct())
+    # Few ids keep the other texts from being shuffled.
+    some, path = stage(rows.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "doc", "left_semi"), "texts")
+    texts = open_pairs.join(some.withColumnRenamed("doc", "u"), "u").join(some.select(F.col("doc").alias("v"), F.col("text").alias("other")), "v")
+    found = judged.where("linked").select("u", "v").unionAll(texts.select("u", "v", "text", "other").mapInArrow(compare, "u long, v long"))
     equal = prints.join(first, "whole").where(F.col("doc") != F.col("first")).select(F.col("doc").alias("u"), F.col("first").alias("v"))
     roots = components(found.unionAll(equal))
+    unstage(docs.sparkSession, path)
     return prints.select("doc").distinct().join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("doc").alias("doc_id"), F.coalesce("root", "doc").alias("component_id"))
 
 

@@ -1,7 +1,8 @@
 """SimHash near-duplicates: 64-bit fingerprints linked by BK-trees over shards.
 
-Two fingerprints within ``radius`` bits agree on at least one of ``radius + 1``
-blocks, so the fingerprints that share a block's value form a shard. A shard's
+Two fingerprints within ``radius`` bits agree on at least ``k`` of ``radius + k``
+blocks, so the fingerprints that share the values of ``k`` blocks form a shard;
+``k`` grows with the count of fingerprints, which keeps shards small. A shard's
 BK-tree keys children by their Hamming distance to the parent, and a probe only
 follows edges within the radius. Trees of all documents together have no size
 bound, so they are not sent from the driver: the shuffle brings the probes of a
@@ -11,6 +12,8 @@ task-sized tile of its own.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -165,11 +168,28 @@ def sorted_groups(rows: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[np
         yield kept
 
 
-def links(distinct: DataFrame, *, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Links (``u``, ``v``) that join all distinct ``fp`` within ``radius`` bits into the right components."""
-    blocks = radius + 1
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    keys = F.array(*[F.shiftleft(F.lit(i).cast("long"), 56).bitwiseOR(F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1)) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+def agreeing(n: int, radius: int, chunk: int) -> int:
+    """How many blocks the members of a shard share, so that ``n`` evenly spread fingerprints make the fewest rows of tiles."""
+    return min(range(1, 4), key=lambda k: math.comb(radius + k, k) * max(1.0, n / 2 ** (64 * k / (radius + k)) / chunk))
+
+
+def shard_masks(radius: int, agree: int) -> list[int]:
+    """Bits of every choice of ``agree`` among ``radius + agree`` blocks, as signed longs: within ``radius`` bits, one choice at least is untouched."""
+    edges = [64 * i // (radius + agree) for i in range(radius + agree + 1)]
+    blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+    masks = [sum(some) for some in itertools.combinations(blocks, agree)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def links(distinct: DataFrame, *, radius: int = RADIUS, chunk: int = CHUNK, agree: int | None = None) -> DataFrame:
+    """Links (``u``, ``v``) that join all distinct ``fp`` within ``radius`` bits into the right components.
+
+    ``agree``, the number of blocks that a shard's members share, changes the work
+    and never the components; it is chosen by a count of ``distinct`` if not given.
+    """
+    if agree is None:
+        agree = agreeing(distinct.count(), radius, chunk)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(shard_masks(radius, agree))])
     rows = distinct.select("fp", F.explode(keys).alias("shard"))
     sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / chunk).cast("int")
