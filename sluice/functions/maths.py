@@ -58,7 +58,13 @@ def floor(a: Arg) -> Column:
 
 @scalar("round")
 def round_(a: Arg, d: Arg | None = None) -> Column:
-    return F.round(a.column, 0 if d is None else int(constant(d, "the digits of round")))
+    """Half away from zero. Of a double the stored value counts, not the decimal it prints as: 1222.745 lies below the half."""
+    n = 0 if d is None else int(constant(d, "the digits of round"))
+    if n == 0 or not isinstance(a.kind(), (T.DoubleType, T.FloatType)):
+        return F.round(a.column, n)
+    power = F.lit(10.0 ** abs(n))
+    out = F.round(a.column * power) / power if n > 0 else F.round(a.column / power) * power
+    return F.when(F.abs(out) < float("inf"), out).otherwise(a.column)
 
 
 @scalar("truncate")
