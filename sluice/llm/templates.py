@@ -21,7 +21,7 @@ FIELD = "<*>"
 #: Leading tokens below the node of a token count, and the share of equal positions that a line needs to join a template.
 DEPTH, SIMILARITY = 3, 0.8
 #: Lines of fewer tokens are never dropped; a template recurs from so many occurrences in different documents on.
-MIN_TOKENS, MIN_DOCS = 3, 3
+MIN_TOKENS, MIN_DOCS = 3, 2
 #: A table of so many rows is small enough to broadcast; it is counted first.
 BROADCAST_ROWS = 500_000
 _SPACE = r"[\x20\x09-\x0D]+"

@@ -48,3 +48,12 @@ def test_leaf_finds_similar_lines():
     # The third line agrees with the first template on seven of ten positions only.
     assert leaf.fields == ["a b c d <*> f g h i j".split(" "), "a b c Y e f g h Z j".split(" "), list("qrstuvwxyz")]
     assert leaf.lines == [[0, 1], [2], [3]]
+
+
+def test_lines_of_two_documents_recur(spark):  # noqa: ANN001
+    long, other = (" ".join(f"{c}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)) for c in "wx")
+    docs = [(1, f"first of all\n{long}"), (2, f"{long}\nsecond in row"), (3, other), (4, "nothing of it stays alone"), (4, "nothing of it stays alone"), (5, other.replace("xfb", "changed"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = sorted(tuple(r) for r in T.dedup_lines(df, count_col="n").collect())
+    assert out == [(1, docs[0][1], 0), (2, "second in row", 1), (3, other, 0), (4, docs[3][1], 0), (4, docs[3][1], 0), (5, "", 1)]
+    assert T.dedup_lines(df, count_col="n", min_docs=3).where("n > 0").count() == 0
