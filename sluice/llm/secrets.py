@@ -3,8 +3,8 @@
 A prefix tree of the labelled credentials of a format counts how often each state
 is passed and left by each symbol. Its states are merged, red to blue, while a
 Hoeffding bound finds their frequencies compatible; the result is a probabilistic
-automaton. Every long run of credential characters is scored under the automata
-of all formats against one of ordinary text.
+automaton. Long runs of credential characters, and what '=', '/' and '.' separate
+in them, are scored under the automata of all formats against one of ordinary text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +34,10 @@ MARGIN = 0.5
 
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Where candidates start in a run and end in it.
+_START = re.compile(r"(?:\A|(?<=[=/.]))-*([A-Za-z0-9+/_])")
+_END = re.compile(r"[A-Za-z0-9+_](?=-*(?:[=/.]|\Z))|-(?=[=/.]|\Z)|=+")
+_DIGIT, _OTHER = re.compile(r"[0-9]"), re.compile(r"[^0-9]")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -65,15 +70,22 @@ class Automaton:
 
     def bits(self, seq: list[str]) -> float:
         """log2 probability of ``seq``; a step that the automaton lacks costs FLOOR and stays in its state."""
-        q, total = 0, 0.0
-        for a in seq:
-            step = self.next[q].get(a)
-            if step is None:
-                total += math.log2(FLOOR)
-            else:
-                q = step[0]
-                total += step[1]
-        return total + self.end[q]
+        return self.bits_at(seq, [len(seq)])[0]
+
+    def bits_at(self, seq: list[str], ends: list[int]) -> list[float]:
+        """The bits of each prefix of a length in ``ends`` (ascending)."""
+        q, total, done, out = 0, 0.0, 0, []
+        for n in ends:
+            for a in seq[done:n]:
+                step = self.next[q].get(a)
+                if step is None:
+                    total += math.log2(FLOOR)
+                else:
+                    q = step[0]
+                    total += step[1]
+            done = n
+            out.append(total + self.end[q])
+        return out
 
 
 class _Tree:
@@ -212,12 +224,23 @@ class SecretModel:
     formats: list[tuple[Automaton, float]]
     background: Automaton
 
+    def fits(self, run: str, ends: list[int]) -> list[bool]:
+        """For each prefix of ``run`` of a length in ``ends`` (ascending), whether a format accepts it.
+
+        A format accepts what is as likely as its own credentials and beats ordinary text.
+        """
+        seq = symbols(run[: ends[-1]])
+        base = self.background.bits_at(seq, ends)
+        found = [False] * len(ends)
+        for a, least in self.formats:
+            for i, bits in enumerate(a.bits_at(seq, ends)):
+                n = ends[i] + 1
+                found[i] |= bits / n >= least and bits / n >= base[i] / n + MARGIN
+        return found
+
     def is_secret(self, run: str) -> bool:
         """Whether a format's likelihood is as high as those of its own credentials, and beats ordinary text."""
-        seq = symbols(run)
-        n = len(seq) + 1
-        base = self.background.bits(seq) / n
-        return any(bits >= least and bits >= base + MARGIN for bits, least in ((a.bits(seq) / n, t) for a, t in self.formats))
+        return self.fits(run, [len(run)])[0]
 
 
 def learn(credentials: dict[str, list[str]] | None = None, common: list[str] | None = None) -> SecretModel:
@@ -245,20 +268,55 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _rests(lo: int, hi: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the sorted spans ``taken`` leave of a run."""
+    for a, b in taken:
+        if b > lo and a < hi:
+            if a > lo:
+                yield lo, a
+            lo = max(lo, b)
+    if lo < hi:
+        yield lo, hi
+
+
+def candidates(run: str) -> Iterator[tuple[int, list[int]]]:
+    """Where a credential may lie in a run: starts, each with its ends (ascending).
+
+    Credentials start at the run's start or behind '=', '/' or '.', and end before
+    one, behind '=' signs (padding) or at the run's end. They have 16 characters
+    at least and a digit, and are not all digits.
+    """
+    ends = [m.end() for m in _END.finditer(run)]
+    for m in _START.finditer(run):
+        lo = m.start(1)
+        digit, other = _DIGIT.search(run, lo), _OTHER.search(run, lo)
+        if digit is None or other is None:
+            continue
+        least = max(lo + 16, digit.end(), other.end())
+        if some := ends[bisect_left(ends, least) :]:
+            yield lo, some
+
+
 def spans(text: str | None, model: SecretModel | None) -> list[tuple[int, int, str]]:
-    """All spans by start, then kind: those of the fixed patterns, and the model's that touch none of them."""
+    """All spans by start, then kind: those of the fixed patterns, and the model's that touch none of them.
+
+    Candidates of the model that overlap make one span, so that all of each is covered.
+    """
     text = text or ""
     found = base_spans(text)
     if model is not None:
-        taken = [(a, b) for a, b, _ in found]
+        taken = sorted((a, b) for a, b, _ in found)
         for r in _RUN.finditer(text):
-            s = r[0].strip("=.-/")
-            if len(s) < 16 or s.isdigit() or not any(c.isdigit() for c in s):
+            if not _DIGIT.search(r[0]):
                 continue
-            lo = r.start() + r[0].index(s)
-            hi = lo + len(s) + (len(r[0]) - (lo - r.start()) - len(s) if r[0].endswith("=") else 0)
-            if all(hi <= a or lo >= b for a, b in taken) and model.is_secret(text[lo:hi]):
-                found.append((lo, hi, "grammar"))
+            for at, end in _rests(r.start(), r.end(), [t for t in taken if t[1] > r.start() and t[0] < r.end()]):
+                held: list[tuple[int, int]] = []
+                for lo, ends in candidates(text[at:end]):
+                    for e, fits in zip(ends, model.fits(text[at + lo : end], [e - lo for e in ends]), strict=True):
+                        if fits:
+                            joined = held.pop() if held and at + lo < held[-1][1] else (at + lo, 0)
+                            held.append((joined[0], max(joined[1], at + e)))
+                found += [(lo, hi, "grammar") for lo, hi in held]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -56,6 +56,20 @@ def test_spans_are_added_and_base_ones_stay(model):  # noqa: ANN001
     assert secrets.spans(None, model) == [] and secrets.spans("plain words only", model) == []
 
 
+def test_credentials_inside_runs_are_found(model):  # noqa: ANN001
+    fresh = secrets.labelled(seed=77, each=40)
+    around = [("GITHUB_PAT=", ""), ("AWS_ID=", "/more/of/it"), ("host.com/maps/", ""), ("https://host.com/maps?v=2&k=", "&x=1"), ("a/b1.c=", ".txt"), ("x" * 20 + "=", "")]
+    for kind, texts in fresh.items():
+        for before, behind in around:
+            # No credential is lost that is one by itself; a path or name that fits a format along with it may be part of the span.
+            lo = len(before)
+            assert all(any(a <= lo and b >= lo + len(t) for a, b, _ in secrets.spans(before + t + behind, model)) for t in texts if model.is_secret(t) and re.search("[0-9]", t)), (kind, before)
+    key = fresh["prefixed"][0]
+    assert secrets.spans(f"GITHUB_PAT={key}", model) == [(11, 11 + len(key), "grammar")]
+    assert secrets.spans(f"{'0a' * 20}/{key}", model) == [(0, 40, "hex"), (40, 41 + len(key), "grammar")]  # '/' is a credential character too
+    assert not [t for t in secrets.ordinary(seed=999, each=20) if any(k == "grammar" for _, _, k in secrets.spans(t, model))]
+
+
 def test_scan(docs, rows, none, model):  # noqa: ANN001
     got = Counter((r["doc_id"], tuple((s["start"], s["end"], s["kind"]) for s in r["spans"])) for r in secrets.scan(docs, model).collect())
     assert got == Counter((i, tuple(secrets.spans(t, model))) for i, t in rows)
