@@ -33,7 +33,7 @@ PIPES: dict[str, tuple[str, str]] = {
     "search_wildcard": ("source=customer c_mktsegment='A*' c_nationkey<5 | stats count() as n", "SELECT count(*) AS n FROM customer WHERE c_mktsegment LIKE 'A%' AND c_nationkey < 5"),
     "search_phrase": ('source=documents text="Released under" | stats count() as n', r"SELECT count(*) AS n FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])released[^\p{L}\p{N}]+under([^\p{L}\p{N}]|$)')"),
     # projections
-    "eval_chain": ("source=lineitem | eval net = l_extendedprice * (1 - l_discount), gross = net * (1 + l_tax) | eval gross = round(gross, 2), net = round(net, 2) | where l_orderkey < 200 | fields l_orderkey, l_linenumber, net, gross", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS gross FROM lineitem WHERE l_orderkey < 200"),
+    "eval_chain": ("source=lineitem | eval net = l_extendedprice * (1 - l_discount), gross = net * (1 + l_tax) | eval gross = round(gross, 2), net = round(net, 2) | fields l_orderkey, l_linenumber, net, gross", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS gross FROM lineitem"),
     "fields_wildcard": ("source=supplier | fields s_s* *key", "SELECT s_suppkey, s_nationkey FROM supplier"),
     "fields_exclude": ("source=nation | fields - n_name", "SELECT n_nationkey, n_regionkey FROM nation"),
     "table_mixed": ("source=region | table r_name r_regionkey", "SELECT r_name, r_regionkey FROM region"),
@@ -62,7 +62,7 @@ PIPES: dict[str, tuple[str, str]] = {
     # joins
     "join_inner": ("source=customer | inner join left=c right=n ON c.c_nationkey = n.n_nationkey nation | stats count() as n, sum(c_acctbal) as s by n_name | eval s = round(s, 2)", "SELECT count(*) AS n, round(sum(c_acctbal), 2) AS s, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL"),
     "join_left": ("source=customer | left join left=c right=o ON c.c_custkey = o.o_custkey [ source=orders | where o_totalprice > 150000 ] | stats count(o_orderkey) as n by c_mktsegment", "SELECT count(o_orderkey) AS n, c_mktsegment FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 150000) ON c_custkey = o_custkey GROUP BY ALL"),
-    "join_right": ("source=supplier | where s_suppkey < 10 | right join left=s right=n ON s.s_nationkey = n.n_nationkey nation | fields s_suppkey, n_nationkey", "SELECT s_suppkey, n_nationkey FROM (SELECT * FROM supplier WHERE s_suppkey < 10) RIGHT JOIN nation ON s_nationkey = n_nationkey"),
+    "join_right": ("source=supplier | where s_acctbal > 7000 | right join left=s right=n ON s.s_nationkey = n.n_nationkey nation | fields s_suppkey, n_nationkey", "SELECT s_suppkey, n_nationkey FROM (SELECT * FROM supplier WHERE s_acctbal > 7000) RIGHT JOIN nation ON s_nationkey = n_nationkey"),
     "join_full": ("source=region | full join left=r right=n ON r.r_regionkey = n.n_nationkey nation | fields r_name, n_name", "SELECT r_name, n_name FROM region FULL JOIN nation ON r_regionkey = n_nationkey"),
     "join_semi": ("source=customer | semi join left=c right=o ON c.c_custkey = o.o_custkey orders | stats count() as n", "SELECT count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
     "join_anti": ("source=customer | anti join left=c right=o ON c.c_custkey = o.o_custkey orders | stats count() as n, min(c_custkey) as k", "SELECT count(*) AS n, min(c_custkey) AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
@@ -73,22 +73,22 @@ PIPES: dict[str, tuple[str, str]] = {
     "join_broadcast": ("source=lineitem | inner join left=l right=s hint=broadcast ON l.l_suppkey = s.s_suppkey supplier | stats sum(l_quantity) as q by s_nationkey", "SELECT sum(l_quantity) AS q, s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"),
     "join_shuffle_hash": ("source=lineitem | inner join left=l right=o hint=shuffle_hash ON l.l_orderkey = o.o_orderkey orders | stats count() as n by o_orderpriority", "SELECT count(*) AS n, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"),
     # windows
-    "eventstats_by": ("source=events | eventstats avg(value) as m, count() as n by event_type | eval m = round(m, 4) | where event_id < 50 | fields event_id, m, n", "SELECT * FROM (SELECT event_id, round(avg(value) OVER (PARTITION BY event_type), 4) AS m, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE event_id < 50"),
+    "eventstats_by": ("source=events | eventstats avg(value) as m, count() as n by event_type | eval m = round(m, 4) | fields event_id, m, n", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type), 4) AS m, count(*) OVER (PARTITION BY event_type) AS n FROM events"),
     "eventstats_global": ("source=supplier | eventstats max(s_acctbal) as top, dc(s_nationkey) as d | where s_acctbal = top | fields s_suppkey, top, d", "SELECT s_suppkey, s_acctbal AS top, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS d FROM supplier WHERE s_acctbal = (SELECT max(s_acctbal) FROM supplier)"),
     "dedup_first": ("source=orders | sort o_custkey, - o_totalprice, o_orderkey | dedup o_custkey | fields o_custkey, o_orderkey", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1"),
     "dedup_two": ("source=orders | sort - o_totalprice, o_orderkey | dedup 2 o_orderstatus, o_orderpriority | fields o_orderkey", "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
     "window_ranks": (
-        "source=orders | where o_custkey < 60 | eval rn = row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey), rk = rank() over (partition by o_custkey order by o_orderpriority), dr = dense_rank() over (partition by o_custkey order by o_orderpriority) | fields o_orderkey, rn, rk, dr",
-        "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr FROM orders WHERE o_custkey < 60",
+        "source=orders | eval rn = row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey), rk = rank() over (partition by o_custkey order by o_orderpriority), dr = dense_rank() over (partition by o_custkey order by o_orderpriority) | fields o_orderkey, rn, rk, dr",
+        "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr FROM orders",
     ),
     "window_frames": (
-        "source=events | where user_id < 40 | eval run = sum(value) over (partition by user_id order by event_id rows between 2 preceding and current row), ahead = max(value) over (partition by user_id order by event_id rows between current row and 1 following), all = count() over (partition by user_id) | eval run = round(run, 4) | fields event_id, run, ahead, all",
-        'SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS run, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS ahead, count(*) OVER (PARTITION BY user_id) AS "all" FROM events WHERE user_id < 40',
+        "source=events | eval run = sum(value) over (partition by user_id order by event_id rows between 2 preceding and current row), ahead = max(value) over (partition by user_id order by event_id rows between current row and 1 following), all = count() over (partition by user_id) | eval run = round(run, 4) | fields event_id, run, ahead, all",
+        'SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS run, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS ahead, count(*) OVER (PARTITION BY user_id) AS "all" FROM events',
     ),
-    "window_range": ("source=lineitem | where l_orderkey < 100 | eval s = sum(l_quantity) over (partition by l_orderkey order by l_linenumber range between 1 preceding and 1 following) | fields l_orderkey, l_linenumber, s", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM lineitem WHERE l_orderkey < 100"),
+    "window_range": ("source=lineitem | eval s = sum(l_quantity) over (partition by l_orderkey order by l_linenumber range between 1 preceding and 1 following) | fields l_orderkey, l_linenumber, s", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM lineitem"),
     "window_values": (
-        "source=events | where user_id < 40 | eval prev = lag(event_id) over (partition by user_id order by event_id), next2 = lead(event_id, 2) over (partition by user_id order by event_id), f = first_value(event_id) over (partition by user_id order by event_id), q = ntile(4) over (partition by user_id order by event_id), cd = round(cume_dist() over (partition by user_id order by event_id), 6), pr = round(percent_rank() over (partition by user_id order by event_id), 6) | fields event_id, prev, next2, f, q, cd, pr",
-        "SELECT event_id, lag(event_id) OVER w AS prev, lead(event_id, 2) OVER w AS next2, first_value(event_id) OVER w AS f, ntile(4) OVER w AS q, round(cume_dist() OVER w, 6) AS cd, round(percent_rank() OVER w, 6) AS pr FROM events WHERE user_id < 40 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
+        "source=events | eval prev = lag(event_id) over (partition by user_id order by event_id), next2 = lead(event_id, 2) over (partition by user_id order by event_id), f = first_value(event_id) over (partition by user_id order by event_id), q = ntile(4) over (partition by user_id order by event_id), cd = round(cume_dist() over (partition by user_id order by event_id), 6), pr = round(percent_rank() over (partition by user_id order by event_id), 6) | fields event_id, prev, next2, f, q, cd, pr",
+        "SELECT event_id, lag(event_id) OVER w AS prev, lead(event_id, 2) OVER w AS next2, first_value(event_id) OVER w AS f, ntile(4) OVER w AS q, round(cume_dist() OVER w, 6) AS cd, round(percent_rank() OVER w, 6) AS pr FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
     ),
     # buckets
     "span_day": ("source=events | stats count() as n by span(ts, 1d) as d", "SELECT count(*) AS n, date_trunc('day', ts)::TIMESTAMP AS d FROM events GROUP BY 2"),
@@ -125,19 +125,19 @@ PIPES: dict[str, tuple[str, str]] = {
         "source=orders | eval a = if(o_totalprice > 100000, 'big', 'small'), b = case(o_orderstatus = 'F', 1, o_orderstatus = 'O', 2 else 3), c = coalesce(nullif(o_orderstatus, 'F'), 'none'), d = ifnull(nullif(o_custkey, 5), -1), e = isnull(nullif(o_orderstatus, 'O')), f = ispresent(o_orderstatus) | fields o_orderkey, a, b, c, d, e, f",
         "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS a, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS b, coalesce(nullif(o_orderstatus, 'F'), 'none') AS c, coalesce(nullif(o_custkey, 5), -1) AS d, nullif(o_orderstatus, 'O') IS NULL AS e, o_orderstatus IS NOT NULL AS f FROM orders",
     ),
-    "casts": ("source=orders | eval a = cast(o_orderkey as string), b = cast(o_totalprice as int), c = cast(o_orderdate as date), d = cast('12' as long), e = tonumber('x1'), f = tostring(o_custkey) | where o_orderkey < 100 | fields a, b, c, d, e, f", "SELECT o_orderkey::VARCHAR AS a, trunc(o_totalprice)::INT AS b, o_orderdate::DATE AS c, 12::BIGINT AS d, NULL::DOUBLE AS e, o_custkey::VARCHAR AS f FROM orders WHERE o_orderkey < 100"),
+    "casts": ("source=orders | eval a = cast(o_orderkey as string), b = cast(o_totalprice as int), c = cast(o_orderdate as date), d = cast('12' as long), e = tonumber('x1'), f = tostring(o_custkey) | fields a, b, c, d, e, f", "SELECT o_orderkey::VARCHAR AS a, trunc(o_totalprice)::INT AS b, o_orderdate::DATE AS c, 12::BIGINT AS d, NULL::DOUBLE AS e, o_custkey::VARCHAR AS f FROM orders"),
     "hash_functions": ("source=region | eval a = md5(r_name), b = sha1(r_name), c = sha256(r_name), d = sha2(r_name, 256) | fields r_regionkey, a, b, c, d", "SELECT r_regionkey, md5(r_name) AS a, sha1(r_name) AS b, sha256(r_name) AS c, sha256(r_name) AS d FROM region"),
     "date_parts": (
-        "source=events | eval a = year(ts), b = month(ts), c = day(ts), d = hour(ts), e = minute(ts), f = second(ts), g = quarter(ts), h = week(ts), i = day_of_week(ts), j = day_of_year(ts), k = dayname(ts), l = monthname(ts), m = weekday(ts) | where event_id < 300 | fields event_id, a, b, c, d, e, f, g, h, i, j, k, l, m",
-        "SELECT event_id, year(ts) AS a, month(ts) AS b, day(ts) AS c, hour(ts) AS d, minute(ts) AS e, second(ts) AS f, quarter(ts) AS g, weekofyear(ts) AS h, dayofweek(ts) + 1 AS i, dayofyear(ts) AS j, dayname(ts) AS k, monthname(ts) AS l, isodow(ts) - 1 AS m FROM events WHERE event_id < 300",
+        "source=events | eval a = year(ts), b = month(ts), c = day(ts), d = hour(ts), e = minute(ts), f = second(ts), g = quarter(ts), h = week(ts), i = day_of_week(ts), j = day_of_year(ts), k = dayname(ts), l = monthname(ts), m = weekday(ts) | fields event_id, a, b, c, d, e, f, g, h, i, j, k, l, m",
+        "SELECT event_id, year(ts) AS a, month(ts) AS b, day(ts) AS c, hour(ts) AS d, minute(ts) AS e, second(ts) AS f, quarter(ts) AS g, weekofyear(ts) AS h, dayofweek(ts) + 1 AS i, dayofyear(ts) AS j, dayname(ts) AS k, monthname(ts) AS l, isodow(ts) - 1 AS m FROM events",
     ),
-    "date_extract": ("source=orders | eval a = extract(year from o_orderdate), b = extract(quarter from o_orderdate), c = extract(month from o_orderdate), d = extract(week from o_orderdate), e = extract(doy from o_orderdate), f = extract(dow from o_orderdate) | where o_orderkey < 300 | fields o_orderkey, a, b, c, d, e, f", "SELECT o_orderkey, year(o_orderdate) AS a, quarter(o_orderdate) AS b, month(o_orderdate) AS c, weekofyear(o_orderdate) AS d, dayofyear(o_orderdate) AS e, dayofweek(o_orderdate) + 1 AS f FROM orders WHERE o_orderkey < 300"),
+    "date_extract": ("source=orders | eval a = extract(year from o_orderdate), b = extract(quarter from o_orderdate), c = extract(month from o_orderdate), d = extract(week from o_orderdate), e = extract(doy from o_orderdate), f = extract(dow from o_orderdate) | fields o_orderkey, a, b, c, d, e, f", "SELECT o_orderkey, year(o_orderdate) AS a, quarter(o_orderdate) AS b, month(o_orderdate) AS c, weekofyear(o_orderdate) AS d, dayofyear(o_orderdate) AS e, dayofweek(o_orderdate) + 1 AS f FROM orders"),
     "date_arithmetic": (
-        "source=orders | eval a = date_add(date(o_orderdate), 10), b = date_sub(date(o_orderdate), 3), c = datediff(o_orderdate, '1995-01-01'), d = last_day(o_orderdate), e = timestampadd(month, 2, o_orderdate), f = timestampdiff(day, o_orderdate, timestamp('2000-01-01 00:00:00')), g = date_trunc('month', o_orderdate), h = date_format(o_orderdate, '%Y/%m/%d %H:%i'), i = to_days(date(o_orderdate)), j = makedate(1999, 40), k = unix_timestamp(o_orderdate), l = from_unixtime(86400) | where o_orderkey < 300 | fields o_orderkey, a, b, c, d, e, f, g, h, i, j, k, l",
-        "SELECT o_orderkey, (o_orderdate::DATE + 10)::DATE AS a, (o_orderdate::DATE - 3)::DATE AS b, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::INT AS c, last_day(o_orderdate) AS d, o_orderdate + INTERVAL 2 MONTH AS e, date_sub('day', o_orderdate, TIMESTAMP '2000-01-01') AS f, date_trunc('month', o_orderdate)::TIMESTAMP AS g, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS h, date_diff('day', DATE '0000-01-01', o_orderdate::DATE)::INT AS i, DATE '1999-02-09' AS j, epoch(o_orderdate)::BIGINT AS k, TIMESTAMP '1970-01-02' AS l FROM orders WHERE o_orderkey < 300",
+        "source=orders | eval a = date_add(date(o_orderdate), 10), b = date_sub(date(o_orderdate), 3), c = datediff(o_orderdate, '1995-01-01'), d = last_day(o_orderdate), e = timestampadd(month, 2, o_orderdate), f = timestampdiff(day, o_orderdate, timestamp('2000-01-01 00:00:00')), g = date_trunc('month', o_orderdate), h = date_format(o_orderdate, '%Y/%m/%d %H:%i'), i = to_days(date(o_orderdate)), j = makedate(1999, 40), k = unix_timestamp(o_orderdate), l = from_unixtime(86400) | fields o_orderkey, a, b, c, d, e, f, g, h, i, j, k, l",
+        "SELECT o_orderkey, (o_orderdate::DATE + 10)::DATE AS a, (o_orderdate::DATE - 3)::DATE AS b, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::INT AS c, last_day(o_orderdate) AS d, o_orderdate + INTERVAL 2 MONTH AS e, date_sub('day', o_orderdate, TIMESTAMP '2000-01-01') AS f, date_trunc('month', o_orderdate)::TIMESTAMP AS g, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS h, date_diff('day', DATE '0000-01-01', o_orderdate::DATE)::INT AS i, DATE '1999-02-09' AS j, epoch(o_orderdate)::BIGINT AS k, TIMESTAMP '1970-01-02' AS l FROM orders",
     ),
     "date_periods": ("source=region | eval a = period_add(202311, 3), b = period_diff(202402, 202311), c = time('10:05:30'), d = time_to_sec('01:00:10'), e = maketime(1, 2, 3), f = sec_to_time(3661), g = yearweek('2024-06-15') | fields r_regionkey, a, b, c, d, e, f, g", "SELECT r_regionkey, 202402 AS a, 3 AS b, 36330000::BIGINT AS c, 3610::BIGINT AS d, 3723000::BIGINT AS e, '01:01:01' AS f, 202424 AS g FROM region"),
-    "json_functions": ("source=events | eval k = json_extract(props, 'k'), v = json_valid(props), n = cast(json_extract(props, '$.k') as int), keys = json_keys(props), o = json_object('id', event_id), a = json_array_length('[1,2,3]'), s = json_set(props, 'k', 5), d = json_delete(props, 'k'), x = json_append('{\"a\":[1]}', 'a', 2) | where event_id < 300 | fields event_id, k, v, n, keys, o, a, s, d, x", """SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS v, json_extract(props, '$.k')::INT AS n, '["k"]' AS keys, '{"id":' || event_id || '}' AS o, 3 AS a, '{"k":5}' AS s, '{}' AS d, '{"a":[1,2]}' AS x FROM events WHERE event_id < 300"""),
+    "json_functions": ("source=events | eval k = json_extract(props, 'k'), v = json_valid(props), n = cast(json_extract(props, '$.k') as int), keys = json_keys(props), o = json_object('id', event_id), a = json_array_length('[1,2,3]'), s = json_set(props, 'k', 5), d = json_delete(props, 'k'), x = json_append('{\"a\":[1]}', 'a', 2) | fields event_id, k, v, n, keys, o, a, s, d, x", """SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS v, json_extract(props, '$.k')::INT AS n, '["k"]' AS keys, '{"id":' || event_id || '}' AS o, 3 AS a, '{"k":5}' AS s, '{}' AS d, '{"a":[1,2]}' AS x FROM events"""),
     "array_functions": (
         "source=embeddings | eval n = array_length(embedding), s = round(reduce(embedding, cast(0 as double), (a, x) -> a + x), 4), p = array_length(filter(embedding, x -> x > 0)), any = exists(embedding, x -> x > 0.3), all = forall(embedding, x -> x < 2), f = round(cast(mvindex(embedding, 0) as double), 6), l = round(cast(mvindex(embedding, -1) as double), 6), j = mvjoin(mvdedup(split('a,b,a', ',')), '+'), z = mvjoin(mvzip(array('a', 'b'), array(1, 2), '='), ';'), m = mvfind(array('x', 'yy'), 'y+') | fields vec_id, n, s, p, any, all, f, l, j, z, m",
         'SELECT vec_id, len(embedding)::INT AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS s, len(list_filter(embedding, lambda x: x > 0))::INT AS p, list_max(embedding) > 0.3 AS "any", list_max(embedding) < 2 AS "all", round(embedding[1]::DOUBLE, 6) AS f, round(embedding[-1]::DOUBLE, 6) AS l, \'a+b\' AS j, \'a=1;b=2\' AS z, 1 AS m FROM embeddings',
@@ -154,13 +154,13 @@ PIPES: dict[str, tuple[str, str]] = {
     "query_string": ("source=documents | where query_string(['text'], 'apache OR \"all rights reserved\"') | stats count() as n", r"SELECT count(*) AS n FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])(apache|all[^\p{L}\p{N}]+rights[^\p{L}\p{N}]+reserved)([^\p{L}\p{N}]|$)')"),
     "query_string_and": ("source=documents | where query_string(['text'], 'license AND NOT apache') | stats count() as n", r"SELECT count(*) AS n FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])license([^\p{L}\p{N}]|$)') AND NOT regexp_matches(lower(text), '(^|[^\p{L}\p{N}])apache([^\p{L}\p{N}]|$)')"),
     "simple_query_string": ("source=documents | where simple_query_string(['text'], 'license -mit', default_operator='and') | stats count() as n", r"SELECT count(*) AS n FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])license([^\p{L}\p{N}]|$)') AND NOT regexp_matches(lower(text), '(^|[^\p{L}\p{N}])mit([^\p{L}\p{N}]|$)')"),
-    "match_not": ("source=documents | where not match(text, 'the') and doc_id < 300 | stats count() as n", r"SELECT count(*) AS n FROM documents WHERE NOT regexp_matches(lower(text), '(^|[^\p{L}\p{N}])the([^\p{L}\p{N}]|$)') AND doc_id < 300"),
+    "match_not": ("source=documents | where not match(text, 'the') | stats count() as n", r"SELECT count(*) AS n FROM documents WHERE NOT regexp_matches(lower(text), '(^|[^\p{L}\p{N}])the([^\p{L}\p{N}]|$)')"),
     # sets
     "set_append": ("source=customer | fields c_nationkey | rename c_nationkey as k | append [ source=supplier | fields s_nationkey | rename s_nationkey as k ] | stats count() as n by k", "SELECT count(*) AS n, k FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 2"),
     "set_union": ("source=customer | fields c_nationkey | rename c_nationkey as k | union [ source=region | fields r_regionkey | rename r_regionkey as k ]", "SELECT c_nationkey AS k FROM customer UNION SELECT r_regionkey FROM region"),
     "set_intersect": ("source=customer | where c_acctbal > 9000 | fields c_nationkey | rename c_nationkey as k | intersect [ source=supplier | where s_acctbal > 5000 | fields s_nationkey | rename s_nationkey as k ]", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000"),
     "set_except": ("source=nation | fields n_nationkey | rename n_nationkey as k | except [ source=supplier | where s_acctbal > 7000 | fields s_nationkey | rename s_nationkey as k ]", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000"),
-    "expand_array": ("source=embeddings | where vec_id < 20 | fields vec_id, embedding | expand embedding as x | stats count() as n, sum(x) as s by vec_id | eval s = round(s, 4)", "SELECT count(*) AS n, round(sum(x::DOUBLE), 4) AS s, vec_id FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings WHERE vec_id < 20) GROUP BY 3"),
+    "expand_array": ("source=embeddings | fields vec_id, embedding | expand embedding as x | stats count() as n, sum(x) as s by vec_id | eval s = round(s, 4)", "SELECT count(*) AS n, round(sum(x::DOUBLE), 4) AS s, vec_id FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY 3"),
     # shapes of web analytics
     "hits_per_host": ("source=pages | eval host = regexp_extract(url, '^https?://([^/]+)', 1) | stats count() as n, avg(length(html)) as bytes by host | where n > 1 | sort - n, host | head 20 | eval bytes = round(bytes, 2)", "SELECT count(*) AS n, round(avg(length(html)), 2) AS bytes, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages GROUP BY 3 HAVING count(*) > 1 ORDER BY 1 DESC, 3 LIMIT 20"),
     "flagship": ("source=lineitem | where l_shipdate >= '1997-01-01 00:00:00' and l_quantity < 24 | stats count() as n, avg(l_extendedprice) as ap, sum(l_quantity) as sq by l_returnflag | sort - n | head 10 | eval ap = round(ap, 2)", "SELECT count(*) AS n, round(avg(l_extendedprice), 2) AS ap, sum(l_quantity) AS sq, l_returnflag FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_quantity < 24 GROUP BY 4 ORDER BY 1 DESC LIMIT 10"),
