@@ -98,6 +98,23 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM m WHERE best = 1
 """
 
+#: Every alignment of every document and item: equal tokens are joined and counted by offset. Windows of 13 tokens need 80 % equal ones, and shorter items as a whole.
+OP8_SQL = r"""
+WITH dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), iw AS (
+  SELECT min(item_id) AS item_id, w, len(w) AS n, least(13, len(w)) AS size
+  FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0 GROUP BY w
+), d AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM dw
+), i AS (SELECT item_id, n, size, (size * 8 + 9) // 10 AS need, unnest(w) AS t, unnest(range(n)) AS p FROM iw
+), m AS (
+  SELECT doc_id, item_id, n, size, need, d.p - i.p AS off, list(i.p) AS eq FROM d JOIN i USING (t) GROUP BY ALL HAVING count(*) >= need
+), s AS (SELECT doc_id, item_id, off, size, need, eq, unnest(range(n - size + 1)) AS s FROM m
+), g AS (SELECT doc_id, item_id, off, s, need, len(list_filter(eq, lambda x: x >= s AND x < s + size)) AS c FROM s
+)
+SELECT doc_id, item_id, max(c) AS n_equal, count(DISTINCT off) AS n_alignments, min(greatest(0, off + s)) AS doc_start, min(s) AS item_start
+FROM g WHERE c >= need GROUP BY doc_id, item_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_lm_scoring": op2_lm_scoring,
@@ -110,4 +127,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_ann": op10_ann,
 }
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL, "op9_url_filter": OP9_SQL}
