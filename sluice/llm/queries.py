@@ -98,6 +98,29 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM m WHERE best = 1
 """
 
+#: Lines as tokens, those with a digit as fields; a position of a leaf's line is a field too if ten lines are equal but for it.
+OP5_SQL = r"""
+WITH own AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), l AS (SELECT r, doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM own WHERE doc_id IS NOT NULL
+), k AS (SELECT r, doc_id, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l
+), e AS (SELECT t, len(t) AS n, min(doc_id) AS low, max(doc_id) AS high FROM k WHERE len(t) >= 3 GROUP BY t
+), o AS (SELECT t, n, count(*) OVER (PARTITION BY n, t[1:3]) AS beside FROM e
+), h AS (SELECT t, n, unnest(range(4, n + 1)) AS p FROM o WHERE beside >= 10
+), w AS (SELECT t, n, p, t[1:p-1] AS a, t[p+1:] AS b FROM h WHERE t[p] <> '<*>'
+), v AS (SELECT n, p, a, b FROM w GROUP BY ALL HAVING count(*) >= 10
+), f AS (SELECT t, n, list(p) AS ps FROM w JOIN v USING (n, p, a, b) GROUP BY t, n HAVING count(*) <= floor(n * 0.2 + 1e-9)
+), g AS (
+  SELECT e.t, low, high, CASE WHEN ps IS NULL THEN e.t ELSE ['field'] || list_transform(e.t, lambda x, i: CASE WHEN list_contains(ps, i) THEN '<*>' ELSE x END) END AS template
+  FROM e LEFT JOIN f USING (t)
+), s AS (SELECT template, min(low) AS first_doc FROM g GROUP BY template HAVING min(low) <> max(high)
+), x AS (SELECT r, list(pos) AS lost FROM k JOIN g USING (t) JOIN s USING (template) WHERE doc_id <> first_doc GROUP BY r
+), y AS (
+  SELECT doc_id, coalesce(len(lost), 0) AS n_dropped,
+         CASE WHEN lost IS NULL THEN coalesce(text, '') ELSE coalesce(array_to_string(list_filter(ls, lambda z, i: NOT list_contains(lost, i - 1)), chr(10)), '') END AS kept
+  FROM own LEFT JOIN x USING (r)
+)
+SELECT doc_id, n_dropped, strlen(kept) AS n_bytes, sha256(kept) AS kept_sha256 FROM y
+"""
 #: Every alignment of every document and item: equal tokens are joined and counted by offset. Windows of 13 tokens need 80 % equal ones, and shorter items as a whole.
 OP8_SQL = r"""
 WITH dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL
@@ -127,4 +150,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_ann": op10_ann,
 }
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_url_filter": OP9_SQL}

@@ -1,44 +1,46 @@
-"""Line dedup by a log-template tree.
+"""Line dedup by a log-template tree, in DataFrame code.
 
 A line goes down a tree of fixed depth: first by its number of tokens, then by its
-leading tokens. In a leaf, lines that agree on enough positions form a template,
-whose other positions are variable fields; tokens with digits are variable from
-the start. Lines of templates that recur across documents are dropped everywhere
-but in the first document.
+leading tokens. Tokens with digits are variable fields from the start. In a leaf, a
+position is a variable field too if enough different lines are equal but for it;
+so a field is what the template's own lines show to vary, and two lines that differ
+in a word stay different. Lines of templates that recur across documents are
+dropped everywhere but in the first document. All steps are sums over keys, so a
+frequent leaf, template or line is nobody's single task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._common import cut
+from sluice.llm._common import cut, stage
 
 FIELD = "<*>"
-#: Leading tokens below the node of a token count, and the share of equal positions that a line needs to join a template.
+#: Leading tokens below the node of a token count, and the share of a line's tokens that are no fields found by counting.
 DEPTH, SIMILARITY = 3, 0.8
-#: Lines of fewer tokens are never dropped; a template recurs from so many occurrences in different documents on.
-MIN_TOKENS, MIN_DOCS = 3, 2
+#: A position is a field if so many different lines of a leaf are equal everywhere else.
+FIELD_VALUES = 10
+#: Lines of fewer tokens are never dropped.
+MIN_TOKENS = 3
 #: A table of so many rows is small enough to broadcast; it is counted first.
 BROADCAST_ROWS = 500_000
-_SPACE = r"[\x20\x09-\x0D]+"
 
 
-def masked(line: Column) -> Column:
-    """Tokens of a line, joined by single spaces, those with a digit as a field."""
-    plain = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)).otherwise(line)
-    return F.trim(F.regexp_replace(plain, _SPACE, " "))
+def masked_lines(text: Column) -> Column:
+    """The lines of a text, each as its tokens joined by single spaces, those with a digit as a field."""
+    plain = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)).otherwise(text)
+    plain = F.when(plain.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(plain, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(plain)
+    return F.transform(F.split(plain, "\n"), lambda s: F.trim(s))
 
 
-def _lines(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), masked)
+def _tokens(line: Column) -> Column:
+    """The number of tokens of a masked line that is not blank."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
 
 
 def _leaf(line: Column, depth: int) -> Column:
-    return F.xxhash64(F.length(line) - F.length(F.replace(line, F.lit(" "))), F.substring_index(line, " ", depth))
+    return F.xxhash64(_tokens(line), F.substring_index(line, " ", depth))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -46,88 +48,45 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-class _Leaf:
-    """Templates of one leaf, found again by blocks of positions.
-
-    A line that agrees with a template's first line on enough positions agrees
-    with it on one whole block at least, of as many as it may differ in plus one.
-    """
-
-    def __init__(self, similarity: float):
-        self.similarity = similarity
-        self.blocks: dict[tuple[int, tuple[str, ...]], list[int]] = {}
-        self.fields: list[list[str]] = []
-        self.lines: list[list[int]] = []
-        self.stats: list[list[int]] = []
-
-    def add(self, key: int, tokens: list[str], docs: int, low: int, high: int) -> None:
-        n = len(tokens)
-        parts = min(n, n - int(-(-self.similarity * n // 1)) + 1)
-        keys = [(i, tuple(tokens[n * i // parts : n * (i + 1) // parts])) for i in range(parts)]
-        near = {t for k in keys for t in self.blocks.get(k, ())}
-        top, score = -1, -1.0
-        for t in sorted(near):
-            same = sum(a == b for a, b in zip(self.fields[t], tokens, strict=True)) / n
-            if same >= self.similarity and same > score:
-                top, score = t, same
-        if top < 0:
-            top = len(self.fields)
-            self.fields.append(list(tokens))
-            self.lines.append([])
-            self.stats.append([0, low, high])
-            for k in keys:
-                self.blocks.setdefault(k, []).append(top)
-        else:
-            self.fields[top] = [a if a == b else FIELD for a, b in zip(self.fields[top], tokens, strict=True)]
-        self.lines[top].append(key)
-        s = self.stats[top]
-        s[0], s[1], s[2] = s[0] + docs, min(s[1], low), max(s[2], high)
-
-
-def recurring(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """Rows (``line``, ``template``, ``first_doc``): hashes of the masked lines whose template recurs.
-
-    A template recurs if its lines are in at least two documents and have
-    ``min_docs`` occurrences, counting a masked line once a document.
-    """
-    line = F.explode(F.array_distinct(_lines(F.col(text_col)))).alias("text")
-    lines = docs.select(F.col(id_col).alias("doc"), line).where(F.col("doc").isNotNull() & (F.length("text") - F.length(F.replace("text", F.lit(" "))) >= min_tokens - 1))
-    lines = lines.select("doc", F.xxhash64("text").alias("line"), _leaf(F.col("text"), depth).alias("leaf"), "text")
-    shared = lines.groupBy("leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("leaf")
-    some = lines.join(_small(cut(shared)), "leaf", "left_semi")
-    each = some.groupBy("leaf", "line", "text").agg(F.count_distinct("doc").alias("docs"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, at = _Leaf(similarity), None
-
-        def out(leaf: _Leaf) -> pa.RecordBatch:
-            rows = [(k, " ".join(f), s[1]) for f, ks, s in zip(leaf.fields, leaf.lines, leaf.stats, strict=True) if s[1] != s[2] and s[0] >= min_docs for k in ks]
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["line", "template", "first_doc"])
-
-        for b in batches:
-            for leaf, key, text, n, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if leaf != at:
-                    if len(now.fields) > 1 or now.stats and now.stats[0][0] >= min_docs:
-                        yield out(now)
-                    now, at = _Leaf(similarity), leaf
-                now.add(key, text.split(" "), n, low, high)
-        yield out(now)
-
-    sorted_rows = each.repartition("leaf").sortWithinPartitions("leaf", "text").select("leaf", "line", "text", "docs", "low", "high")
-    return sorted_rows.mapInArrow(run, "line long, template string, first_doc long")
-
-
-def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """Rows (``doc``, ``lines``): for each document the sorted hashes of the masked lines that it loses."""
-    known = cut(recurring(docs, id_col=id_col, text_col=text_col, **more).select("line", "first_doc"))
-    line = F.explode(F.array_distinct(_lines(F.col(text_col)))).alias("text")
-    lines = docs.select(F.col(id_col).alias("doc"), line).select("doc", F.xxhash64("text").alias("line"))
-    hit = lines.join(_small(known), "line").where(F.col("doc") != F.col("first_doc"))
-    return hit.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-
-
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, **more) -> DataFrame:
+def lines_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """Rows (``doc``, ``print``, ``lines``): a text's hash, and for each of its lines hashes (``line``, ``leaf``), null for lines too short to drop."""
+    one = lambda s: F.when((s != "") & (_tokens(s) >= min_tokens), F.struct(F.xxhash64(s).alias("line"), _leaf(s, depth).alias("leaf")))
+    text = F.col(text_col)
+    return docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("print"), F.transform(masked_lines(text), one).alias("lines"))
+
+
+def _fields(docs: DataFrame, leaves: DataFrame, *, id_col: str, text_col: str, depth: int, similarity: float, values: int) -> DataFrame:
+    """Rows (``line``, ``template``, ``pattern``): the lines of ``leaves`` that have fields found by counting, and their template."""
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.explode(masked_lines(F.col(text_col))).alias("text"))
+    texts = texts.where(F.col("text") != "").withColumn("leaf", _leaf(F.col("text"), depth))
+    texts = texts.join(_small(leaves), "leaf", "left_semi").select("leaf", "text").distinct()
+    # A line is the exclusive or of its tokens' hashes, so that a line without one of them is one step away.
+    hashed = texts.select("leaf", F.xxhash64("text").alias("line"), F.split("text", " ").alias("t")).withColumn("h", F.transform("t", lambda w, i: F.xxhash64(i, w)))
+    hashed = hashed.withColumn("sum", F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
+    whole = cut(hashed.select("leaf", "line", "t", "h", "sum"))
+    holes = whole.select("leaf", "line", F.posexplode("h").alias("at", "x"), "t", "sum").where((F.col("at") >= depth) & (F.get("t", F.col("at")) != FIELD))
+    holes = holes.select("line", "at", F.xxhash64("leaf", "at", F.col("sum").bitwiseXOR(F.col("x"))).alias("hole"))
+    variable = cut(holes.groupBy("hole").count().where(F.col("count") >= values).select("hole"))
+    places = holes.join(_small(variable), "hole", "left_semi").groupBy("line").agg(F.array_sort(F.collect_list("at")).alias("places"))
+    found = whole.join(places, "line").where(F.size("places") <= F.floor(F.size("t") * F.lit(1 - similarity) + F.lit(1e-9)))
+    changed = F.aggregate("places", F.col("sum"), lambda a, i: a.bitwiseXOR(F.get("h", i)).bitwiseXOR(F.xxhash64(i, F.lit(FIELD))))
+    pattern = F.array_join(F.transform("t", lambda w, i: F.when(F.array_contains("places", i), F.lit(FIELD)).otherwise(w)), " ")
+    return found.select("line", F.xxhash64("leaf", changed).alias("template"), pattern.alias("pattern"))
+
+
+def recurring(lines: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY, values: int = FIELD_VALUES) -> DataFrame:
+    """Rows (``line``, ``first_doc``): hashes of the masked lines whose template is in two documents or more, and the first of these."""
+    each = lines.select("doc", F.explode("lines").alias("l")).where("l is not null").select("doc", "l.line", "l.leaf")
+    each = cut(each.groupBy("line", "leaf").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
+    leaves = cut(each.groupBy("leaf").count().where(F.col("count") >= values).select("leaf"))
+    fields = cut(_fields(docs, leaves, id_col=id_col, text_col=text_col, depth=depth, similarity=similarity, values=values).select("line", "template"))
+    general = each.join(_small(fields), "line")
+    shared = general.groupBy("template").agg(F.min("low").alias("first_doc"), F.max("high").alias("last")).where("first_doc <> last").select("template", "first_doc")
+    exact = each.where("low <> high").join(_small(fields.select("line")), "line", "left_anti").select("line", F.col("low").alias("first_doc"))
+    return exact.unionByName(general.join(shared, "template").select("line", "first_doc"))
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, **more) -> DataFrame:
     """``docs`` without lines of recurring templates, which only the document of smallest id keeps.
 
     All rows and columns stay; a text may become empty. Null texts stay null.
@@ -135,12 +94,16 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     as one document. Lines of fewer than ``min_tokens`` tokens, blank ones too,
     stay. ``count_col`` names a column to add with the number of dropped lines.
     """
-    lost = dropped_lines(docs, id_col=id_col, text_col=text_col, **more).withColumnsRenamed({"doc": "__lost_doc", "lines": "__lost"})
+    lines, _ = stage(lines_of(docs, id_col=id_col, text_col=text_col, depth=depth, min_tokens=min_tokens), "lines")
+    known = cut(recurring(lines, docs, id_col=id_col, text_col=text_col, depth=depth, **more))
+    at = lines.select("doc", "print", F.posexplode("lines").alias("at", "l")).where("l is not null").select("doc", "print", "at", "l.line")
+    hit = at.join(_small(known), "line").where(F.col("doc") != F.col("first_doc"))
+    lost = hit.groupBy(F.col("doc").alias("__lost_doc"), F.col("print").alias("__lost_print")).agg(F.collect_set("at").alias("__lost"))
     own = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("__lost").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(own, lambda s: ~F.array_contains(F.col("__lost"), F.xxhash64(masked(s)))), "\n"))
-    joined = docs.join(lost, docs[id_col] == F.col("__lost_doc"), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__lost"))
+    kept = F.when(F.col("__lost").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n"))
+    joined = docs.join(lost, (docs[id_col] == F.col("__lost_doc")) & (F.xxhash64(docs[text_col]) == F.col("__lost_print")), "left")
     columns = [kept.alias(c) if c == text_col else docs[c] for c in docs.columns]
     if count_col is not None:
-        gone = F.when(F.col("__lost").isNull(), 0).otherwise(F.size(F.filter(own, lambda s: F.array_contains(F.col("__lost"), F.xxhash64(masked(s))))))
-        columns.append(gone.cast("long").alias(count_col))
+        columns.append(F.when(F.col("__lost").isNull(), 0).otherwise(F.size("__lost")).cast("long").alias(count_col))
     return joined.select(*columns)
