@@ -27,11 +27,14 @@ MIN_TOKENS = 3
 BROADCAST_ROWS = 500_000
 
 
+def masked(line: Column) -> Column:
+    """Tokens of a line, joined by single spaces, those with a digit as a field. Most lines need neither replacement."""
+    plain = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)).otherwise(line)
+    return F.trim(F.when(plain.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " ")).otherwise(plain))
+
+
 def masked_lines(text: Column) -> Column:
-    """The lines of a text, each as its tokens joined by single spaces, those with a digit as a field."""
-    plain = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)).otherwise(text)
-    plain = F.when(plain.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(plain, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(plain)
-    return F.transform(F.split(plain, "\n"), lambda s: F.trim(s))
+    return F.transform(F.split(text, "\n"), lambda s: masked(s))
 
 
 def _tokens(line: Column) -> Column:
@@ -55,13 +58,16 @@ def lines_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("print"), F.transform(masked_lines(text), one).alias("lines"))
 
 
-def _fields(docs: DataFrame, leaves: DataFrame, *, id_col: str, text_col: str, depth: int, similarity: float, values: int) -> DataFrame:
+def _fields(lines: DataFrame, leaves: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, depth: int, similarity: float, values: int) -> DataFrame:
     """Rows (``line``, ``template``, ``pattern``): the lines of ``leaves`` that have fields found by counting, and their template."""
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.explode(masked_lines(F.col(text_col))).alias("text"))
-    texts = texts.where(F.col("text") != "").withColumn("leaf", _leaf(F.col("text"), depth))
-    texts = texts.join(_small(leaves), "leaf", "left_semi").select("leaf", "text").distinct()
+    some = lines.select("doc", "print", F.posexplode("lines").alias("at", "l")).where("l is not null").select("doc", "print", "at", "l.line", "l.leaf").join(_small(leaves), "leaf", "left_semi")
+    # The words of a line are read from one text that holds it.
+    held = some.groupBy("line", "leaf").agg(F.min(F.struct("doc", "print", "at")).alias("in")).groupBy("in.doc", "in.print").agg(F.collect_list(F.struct("line", "leaf", "in.at")).alias("l"))
+    held = _small(cut(held.withColumnsRenamed({"doc": "__doc", "print": "__print"})))
+    texts = docs.join(held, (docs[id_col] == F.col("__doc")) & (F.xxhash64(docs[text_col]) == F.col("__print"))).select(F.split(docs[text_col], "\n").alias("own"), F.explode("l").alias("l"))
+    texts = texts.select("l.line", "l.leaf", masked(F.get("own", F.col("l.at"))).alias("text")).dropDuplicates(["line", "leaf"])
     # A line is the exclusive or of its tokens' hashes, so that a line without one of them is one step away.
-    hashed = texts.select("leaf", F.xxhash64("text").alias("line"), F.split("text", " ").alias("t")).withColumn("h", F.transform("t", lambda w, i: F.xxhash64(i, w)))
+    hashed = texts.select("leaf", "line", F.split("text", " ").alias("t")).withColumn("h", F.transform("t", lambda w, i: F.xxhash64(i, w)))
     hashed = hashed.withColumn("sum", F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
     whole = cut(hashed.select("leaf", "line", "t", "h", "sum"))
     holes = whole.select("leaf", "line", F.posexplode("h").alias("at", "x"), "t", "sum").where((F.col("at") >= depth) & (F.get("t", F.col("at")) != FIELD))
@@ -79,7 +85,7 @@ def recurring(lines: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text
     each = lines.select("doc", F.explode("lines").alias("l")).where("l is not null").select("doc", "l.line", "l.leaf")
     each = cut(each.groupBy("line", "leaf").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
     leaves = cut(each.groupBy("leaf").count().where(F.col("count") >= values).select("leaf"))
-    fields = cut(_fields(docs, leaves, id_col=id_col, text_col=text_col, depth=depth, similarity=similarity, values=values).select("line", "template"))
+    fields = cut(_fields(lines, leaves, docs, id_col=id_col, text_col=text_col, depth=depth, similarity=similarity, values=values).select("line", "template"))
     general = each.join(_small(fields), "line")
     shared = general.groupBy("template").agg(F.min("low").alias("first_doc"), F.max("high").alias("last")).where("first_doc <> last").select("template", "first_doc")
     exact = each.where("low <> high").join(_small(fields.select("line")), "line", "left_anti").select("line", F.col("low").alias("first_doc"))
