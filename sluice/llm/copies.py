@@ -3,9 +3,11 @@
 One fingerprint of a whole text moves by many bits when a few words in a hundred
 change. So the shingles of a text are also dealt by hash to small parts, and each
 part has a fingerprint of its own; texts that share most shingles agree on whole
-parts. Candidates come from fingerprints of whole texts within a radius (BK-trees)
-and from equal parts. Each is judged on sketches of the shingles; where these do
-not settle it, the whole texts are compared.
+parts. Texts that show an equal part are compared by signatures, all with all but
+in tiles of bounded size, and links of these together with those of fingerprints
+of whole texts within a radius (BK-trees) make clusters of candidates. In a
+cluster all texts are compared by all their shingles, again in tiles. Texts of
+equal shingle sets are one throughout.
 """
 
 from __future__ import annotations
@@ -19,16 +21,18 @@ from pyspark.sql import functions as F
 
 from sluice.llm._common import cut, stage, unstage
 from sluice.llm.components import components
-from sluice.llm.simhash import RADIUS, _majority, links, shingle_hashes
+from sluice.llm.simhash import RADIUS, _majority, links, shingle_hashes, sorted_runs
 
-#: Parts that a text shows at each level, levels, and the shingles that a part of the uppermost holds at least; each level halves the parts.
-PARTS, LEVELS, PART_SIZE = 12, 3, 8
-#: Least hashes of a text's shingles that stand for it; up to so many shingles the similarity is exact, beyond its standard error is under 0.04.
-SKETCH = 128
-#: A sketch this far from the wanted similarity settles a pair: over five standard errors.
-MARGIN = 0.18
-#: Up to so many ids of texts to compare are broadcast; they are counted first.
-BROADCAST_IDS = 500_000
+#: A text of so many shingles and more shows parts of 4 to 8 and of 2 to 4 shingles, PARTS of each at most; shorter texts show single shingles.
+SHORT, PARTS = 16, 32
+#: Bytes of a signature, one for each range of hashes: from the range's least hash, 0 where there is none.
+SLOTS = 128
+#: Standard errors by which signatures must miss the wanted similarity before two texts are not compared.
+ERRORS = 5.5
+#: Texts of a chunk of those that share a part; shingles of a chunk of a cluster. A tile holds two chunks.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+#: Up to so many names of texts to compare are broadcast; they are counted first.
+BROADCAST_TEXTS = 500_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -36,116 +40,232 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def describe(text: str | None, words: int) -> tuple[int, int, list[int], bytes]:
-    """(hash of the shingle set, SimHash, part keys, sketch) of a text; zeros and nothing without words."""
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(np.array(shingle_hashes(text, words), dtype=np.uint64))
+
+
+def signature(h: np.ndarray) -> bytes:
+    slot = (h >> np.uint64(57)).astype(np.int64)
+    at = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(h) else []
+    out = np.zeros(SLOTS, dtype=np.uint8)
+    out[slot[at]] = _mixed(h[at]) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def part_keys(h: np.ndarray, least: float) -> list[int]:
+    """Keys of which two texts from ``least`` on share one.
+
+    Of fewer than SHORT shingles, each text shows as many of its least ones as may
+    differ and one more, which is exact. Longer ones are cut into parts by leading
+    bits: as many parts as shingles that may differ, or more, so that one stays
+    whole; of very long texts PARTS of them are enough but for a chance of one in
+    hundreds of thousands.
+    """
+    n = len(h)
+    keys = []
+    if n * least < SHORT:
+        most = n - int(np.ceil(round(least * n, 9))) + 1
+        keys.append(_mixed(h[:most] * np.uint64(2)))
+    if n >= SHORT:
+        level = (n // 8).bit_length()
+        for g in (level, level + 1):
+            part = h >> np.uint64(64 - g)
+            m = int(np.searchsorted(part, PARTS))
+            if not m:
+                continue
+            at = np.flatnonzero(np.r_[True, part[1:m] != part[: m - 1]])
+            sums = np.add.reduceat(_mixed(h[:m]), at) * np.uint64(2) + np.uint64(1)
+            keys.append(_mixed(sums ^ _mixed(part[at] + np.uint64(g << 32))))
+    return np.concatenate(keys).view("<i8").tolist() if keys else []
+
+
+def describe(text: str | None, words: int, least: float) -> tuple[int, int, int, list[int], bytes]:
+    """(hash of the shingle set, SimHash, its size, part keys, signature) of a text; zeros and nothing without words."""
     hashes = shingle_hashes(text, words)
     if not hashes:
-        return 0, 0, [], b""
+        return 0, 0, 0, [], bytes(SLOTS)
     fp = int(_majority(hashes, [0])[0].astype("<i8"))
     h = np.unique(np.array(hashes, dtype=np.uint64))
-    mixed = _mixed(h)
-    whole = int(_mixed(mixed.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))[0].astype("<i8"))
-    keys = []
-    level = max(0, (len(h) // PART_SIZE).bit_length() - 1)
-    for g in range(level, level + LEVELS):
-        part = h >> np.uint64(64 - g) if g else np.zeros(len(h), dtype=np.uint64)
-        n = int(np.searchsorted(part, PARTS))
-        if not n:
-            continue
-        at = np.flatnonzero(np.r_[True, part[1:n] != part[: n - 1]])
-        sums = np.add.reduceat(mixed[:n], at) * np.uint64(2) + np.uint64(1)
-        keys.append(_mixed(sums ^ _mixed(part[at] + np.uint64(g << 32))))
-    return whole, fp, np.concatenate(keys).view("<i8").tolist() if keys else [], h[:SKETCH].astype("<u8").tobytes()
-
-
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity from two sketches; of two texts without shingles 1."""
-    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        both = both[: min(SKETCH, len(both))]
-    return float((np.isin(both, x, assume_unique=True) & np.isin(both, y, assume_unique=True)).sum() / len(both))
-
-
-def settled(a: bytes, b: bytes, least: float) -> bool | None:
-    """Whether two sketches show a similarity of ``least``; None if only the whole texts can tell."""
-    s = similarity(a, b)
-    if max(len(a), len(b)) < 8 * SKETCH or abs(s - least) >= MARGIN:
-        return s >= least
-    return None
+    whole = int(_mixed(_mixed(h).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))[0].astype("<i8"))
+    return whole, fp, len(h), part_keys(h, least), signature(h)
+
+
+def likely(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows of signatures do not rule a similarity of ``least`` out."""
+    some = ((a | b) != 0).sum(axis=-1)
+    same = ((a == b) & (a != 0)).sum(axis=-1)
+    return same >= least * some - ERRORS * np.sqrt(least * (1 - least) * some)
+
+
+class _Groups:
+    """Disjoint sets of the numbers below ``n``, each under its smallest."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: int, j: int) -> None:
+        a, b = sorted((self.root[i], self.root[j]))
+        if a != b:
+            self.root[self.root == b] = a
+
+
+def _tile_pairs(first: np.ndarray, across: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a tile with those that it is to be compared with: rows before it, or in a tile of two chunks those of the first chunk."""
+    ahead = np.flatnonzero(first)
+    for i in np.flatnonzero(~first) if across else range(1, len(first)):
+        yield i, ahead if across else np.arange(i)
+
+
+def _tiles(rows: DataFrame, sizes: DataFrame, key: str, member: str) -> DataFrame:
+    """``rows`` with ``sizes``' ``parts`` of their ``key`` dealt to tiles (``i``, ``j``): all pairs of chunks, each row once for each of its tiles."""
+    dealt = rows.join(sizes, key).withColumn("mine", F.pmod(F.xxhash64(member), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).withColumn("second", (F.col("mine") > F.col("other")).cast("int"))
+
+
+def _matrix(col: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(col.tolist()), dtype=np.uint8).reshape(-1, SLOTS)
+
+
+def _edges(us: list[int], vs: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+
+def _candidates(prints: DataFrame, least: float, radius: int) -> DataFrame:
+    """Links (``u``, ``v``) that join all texts (``whole``, ``fp``, ``keys``, ``sig``) to be compared into clusters."""
+    keyed = prints.select("whole", F.explode("keys").alias("key"), "sig")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j, second, whole, sig), cuts in sorted_runs(batches, 3):
+            us: list[int] = []
+            vs: list[int] = []
+            s = _matrix(sig)
+            lengths = np.diff(cuts)
+            two = np.array(cuts[:-1])[lengths == 2]
+            two = two[(i[two] == j[two]) | (second[two] != second[two + 1])]
+            good = two[likely(s[two], s[two + 1], least)]
+            us += whole[good].tolist()
+            vs += whole[good + 1].tolist()
+            for lo, n in zip(cuts, lengths.tolist(), strict=False):
+                if n < 3:
+                    continue
+                own, groups = s[lo : lo + n], _Groups(n)
+                for x, others in _tile_pairs(second[lo : lo + n] == 0, bool(i[lo] != j[lo])):
+                    open_ = others[groups.root[others] != groups.root[x]]
+                    for y in open_[likely(own[open_], own[x], least)]:
+                        groups.join(x, y)
+                moved = np.flatnonzero(groups.root != np.arange(n))
+                us += whole[lo + moved].tolist()
+                vs += whole[lo + groups.root[moved]].tolist()
+            yield _edges(us, vs)
+
+    tiles = _tiles(keyed, sizes, "key", "whole").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second", "whole").select("key", "i", "j", "second", "whole", "sig")
+    by_part = tiles.mapInArrow(meet, "u long, v long").distinct()
+    fps = cut(prints.groupBy("fp").agg(F.min("whole").alias("rep")))
+    by_print = prints.join(fps, "fp").where("whole <> rep").select(F.col("whole").alias("u"), F.col("rep").alias("v"))
+    near = links(fps.select("fp"), radius=radius).distinct().withColumnsRenamed({"u": "fu", "v": "fv"})
+    u, v = fps.select(F.col("fp").alias("fu"), F.col("rep").alias("u")), fps.select(F.col("fp").alias("fv"), F.col("rep").alias("v"))
+    return by_part.unionAll(by_print).unionAll(near.join(u, "fu").join(v, "fv").select("u", "v"))
+
+
+def _linked(sets: DataFrame, least: float) -> DataFrame:
+    """Links (``u``, ``v``) that join the texts (``whole``, ``cluster``, ``n``, ``shingles``) of a cluster from a similarity of ``least`` on into the right components."""
+    parts = F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int")
+    sizes = sets.groupBy("cluster").agg(parts.alias("parts"))
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j, second, whole, raw), cuts in sorted_runs(batches, 3):
+            us: list[int] = []
+            vs: list[int] = []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                n = hi - lo
+                sets = [np.frombuffer(x, dtype="<u8") for x in raw[lo:hi]]
+                size = np.array(list(map(len, sets)))
+                sig = _matrix(np.array([signature(x) for x in sets], dtype=object))
+                groups = _Groups(n)
+                for x, others in _tile_pairs(second[lo:hi] == 0, bool(i[lo] != j[lo])):
+                    others = others[(groups.root[others] != groups.root[x]) & (np.minimum(size[others], size[x]) >= least * np.maximum(size[others], size[x]) - 1e-9)]
+                    for y in others[likely(sig[others], sig[x], least)]:
+                        if groups.root[x] != groups.root[y]:
+                            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                            if common >= least * (size[x] + size[y] - common) - 1e-9:
+                                groups.join(x, y)
+                moved = np.flatnonzero(groups.root != np.arange(n))
+                us += whole[lo + moved].tolist()
+                vs += whole[lo + groups.root[moved]].tolist()
+            yield _edges(us, vs)
+
+    tiles = _tiles(sets, sizes, "cluster", "whole").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "second", "whole").select("cluster", "i", "j", "second", "whole", "shingles")
+    return tiles.mapInArrow(meet, "u long, v long")
+
+
+def _prints(docs: DataFrame, *, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """Rows (``doc``, ``print``, ``whole``, ``fp``, ``n``, ``keys``, ``sig``), one for each row with an id; ``print`` tells texts of one id apart."""
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            out = [describe(t.as_py(), words, least) for t in b.column(2)]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc", "print", "whole", "fp", "n", "keys", "sig"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text")).where("doc is not null")
+    return rows.mapInArrow(run, "doc long, print long, whole long, fp long, n long, keys array<long>, sig binary")
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
-    """Rows (``doc_id``, ``component_id``): for each distinct id the smallest id that chains of similar texts reach.
-
-    Texts are linked from a similarity of ``least`` on, which is never judged by
-    less than all their shingles unless a sketch is over five standard errors
-    away from it. Texts that share a part are compared with the smallest and the
-    largest id that show it. Texts without words are linked to each other. Rows
-    with a null id are left out; rows of one id are one document. Other columns
-    are ignored. An empty table gives no rows.
+    """Rows (``doc_id``, ``print``, ``n_rows``, ``component_id``, ``root``): for each distinct id and text the smallest id that chains of similar texts reach.
+
+    ``print`` is XXH64 of the text and ``n_rows`` how many rows have this id and
+    text; different texts of one id are different documents. ``root`` names the group. Texts are linked from
+    a similarity of ``least`` on, judged by all their shingles. Texts without words
+    are linked to each other. Rows with a null id are left out. Other columns are
+    ignored. An empty table gives no rows.
     """
+    spark = docs.sparkSession
+    prints, prints_path = stage(_prints(docs, id_col=id_col, text_col=text_col, words=words, least=least), "prints")
+    # One text stands for all of equal shingle sets.
+    alone = prints.where("n > 0").groupBy("whole").agg(F.min(F.struct("doc", "print")).alias("at"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    found = components(_candidates(alone, least, radius))
+    clusters = cut(found.select(F.col("node").alias("whole"), F.col("root").alias("cluster")).unionAll(found.select(F.col("root").alias("whole"), F.col("root").alias("cluster")).distinct()))
+    held = cut(alone.select("whole", "at.doc", "at.print").join(clusters, "whole"))
+    few = held.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
 
-    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            out = [describe(t.as_py(), words) for t in b.column(1)]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc", "whole", "fp", "keys", "sketch"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    prints, _ = stage(rows.mapInArrow(run, "doc long, whole long, fp long, keys array<long>, sketch binary"), "prints")
-    first = cut(prints.groupBy("whole").agg(F.min("doc").alias("first")))
-    # One document stands for all of equal shingles.
-    stand = prints.join(first, "whole").where(F.col("doc") == F.col("first")).select("doc", "fp", "keys", "sketch").dropDuplicates(["doc"])
-    keyed = stand.select("doc", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.array_distinct(F.array(F.min("doc"), F.max("doc"))).alias("reps")).where("size(reps) > 1").select("key", F.explode("reps").alias("rep"))
-    by_part = keyed.join(shared, "key").where("doc <> rep").select("doc", "rep")
-    fps = cut(stand.groupBy("fp").agg(F.min("doc").alias("rep")))
-    by_print = stand.select("doc", "fp").join(fps, "fp").where("doc <> rep").select("doc", "rep")
-    near = links(fps.select("fp"), radius=radius).distinct()
-    u, v = fps.select(F.col("fp").alias("u"), F.col("rep").alias("doc")), fps.select(F.col("fp").alias("v"), "rep")
-    by_radius = near.join(u, "u").join(v, "v").select("doc", "rep")
-    pairs = by_part.unionAll(by_print).unionAll(by_radius).distinct()
-    sketches = stand.select("doc", "sketch")
-
-    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            linked = pa.array([settled(x, y, least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), linked], names=["u", "v", "linked"])
-
-    both = pairs.join(sketches, "doc").join(sketches.select(F.col("doc").alias("rep"), F.col("sketch").alias("other")), "rep")
-    judged = cut(both.select("doc", "rep", "sketch", "other").mapInArrow(judge, "u long, v long, linked boolean").where("linked is null or linked"))
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[str | None, set[int]] = ("", set())  # the join brings pairs of one text together
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                if (text := y.as_py()) != held[0]:
-                    held = text, set(shingle_hashes(text, words))
-                own = set(shingle_hashes(x.as_py(), words))
-                common = len(own & held[1])
-                keep.append(common / (len(own) + len(held[1]) - common) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    open_pairs = judged.where("linked is null").select("u", "v")
-    asked = cut(open_pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct())
-    # Few ids keep the other texts from being shuffled.
-    some, path = stage(rows.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "doc", "left_semi"), "texts")
-    texts = open_pairs.join(some.withColumnRenamed("doc", "u"), "u").join(some.select(F.col("doc").alias("v"), F.col("text").alias("other")), "v")
-    found = judged.where("linked").select("u", "v").unionAll(texts.select("u", "v", "text", "other").mapInArrow(compare, "u long, v long"))
-    equal = prints.join(first, "whole").where(F.col("doc") != F.col("first")).select(F.col("doc").alias("u"), F.col("first").alias("v"))
-    roots = components(found.unionAll(equal))
-    unstage(docs.sparkSession, path)
-    return prints.select("doc").distinct().join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("doc").alias("doc_id"), F.coalesce("root", "doc").alias("component_id"))
+            found = [shingle_set(t.as_py(), words) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, found), pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["whole", "cluster", "n", "shingles"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    texts = rows.join(F.broadcast(held) if few else held, ["doc", "print"]).select("whole", "cluster", "text").mapInArrow(sets, "whole long, cluster long, n long, shingles binary")
+    texts, texts_path = stage(texts.dropDuplicates(["whole"]) if docs_repeat(prints) else texts, "sets")
+    roots = components(_linked(texts, least)).withColumnRenamed("node", "whole")
+    named = prints.groupBy("doc", "print", "whole").agg(F.count("*").alias("n_rows")).join(F.broadcast(roots) if few else roots, "whole", "left")
+    named = cut(named.select("doc", "print", "n_rows", F.coalesce("root", "whole").alias("root")))
+    unstage(spark, prints_path)
+    unstage(spark, texts_path)
+    least_of = named.groupBy("root").agg(F.min("doc").alias("component_id"))
+    return named.join(least_of, "root").select(F.col("doc").alias("doc_id"), "print", "n_rows", "component_id", "root")
+
+
+def docs_repeat(prints: DataFrame) -> bool:
+    """Whether an id and text is in several rows."""
+    return prints.groupBy("doc", "print").count().where("count > 1").limit(1).count() > 0
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **more) -> DataFrame:
-    """``docs`` with one row of each group of near copies, the one of smallest id; rows with a null id stay."""
-    kept = near_copies(docs, id_col=id_col, **more).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    have = docs.where(F.col(id_col).isNotNull())
-    one = have.join(kept, have[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    """``docs`` with one row of each group of near copies, that of smallest id; rows with a null id stay.
+
+    Of several texts of that id in one group the one of least hash stays, and of
+    rows of one id and text any one. Different texts of an id are different documents.
+    """
+    text_col = more.get("text_col", "text")
+    found = near_copies(docs, id_col=id_col, **more)
+    best = cut(found.groupBy("root").agg(F.min(F.struct("doc_id", "print", "n_rows")).alias("b")).select(F.col("b.doc_id").alias("__doc"), F.col("b.print").alias("__print"), F.col("b.n_rows").alias("__rows")))
+    mine = docs.where(F.col(id_col).isNotNull())
+    kept = mine.join(best, (mine[id_col] == F.col("__doc")) & (F.xxhash64(mine[text_col]) == F.col("__print")))
+    out = kept.where("__rows = 1").select(*[mine[c] for c in docs.columns])
+    if best.where("__rows > 1").limit(1).count():
+        out = out.unionAll(kept.where("__rows > 1").dropDuplicates(["__doc", "__print"]).select(*[mine[c] for c in docs.columns]))
+    return out.unionAll(docs.where(F.col(id_col).isNull()))

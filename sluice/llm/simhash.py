@@ -148,8 +148,8 @@ def _tile_links(fps: list[int], part: list[int], across: bool, radius: int) -> l
     return [(i, r) for i in range(len(fps)) if (r := find(i)) != i]
 
 
-def sorted_groups(rows: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """Columns of each run of equal leading ``keys`` columns, over the batches of a sorted partition."""
+def sorted_runs(rows: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Columns of whole runs of equal leading ``keys`` columns, over the batches of a sorted partition, and where runs begin and the last ends."""
     kept: list[np.ndarray] | None = None
     for b in rows:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -161,11 +161,18 @@ def sorted_groups(rows: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[np
         for c in cols[:keys]:
             new[1:] |= c[1:] != c[:-1]
         cuts = [0, *np.flatnonzero(new).tolist()]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            yield [c[lo:hi] for c in cols]
+        if len(cuts) > 1:
+            yield [c[: cuts[-1]] for c in cols], cuts
         kept = [c[cuts[-1] :] for c in cols]
     if kept is not None:
-        yield kept
+        yield kept, [0, len(kept[0])]
+
+
+def sorted_groups(rows: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of each run of equal leading ``keys`` columns, over the batches of a sorted partition."""
+    for cols, cuts in sorted_runs(rows, keys):
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield [c[lo:hi] for c in cols]
 
 
 def agreeing(n: int, radius: int, chunk: int) -> int:
