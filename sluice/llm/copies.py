@@ -133,7 +133,8 @@ def _edges(us: list[int], vs: list[int]) -> pa.RecordBatch:
 
 def _candidates(prints: DataFrame, least: float, radius: int) -> DataFrame:
     """Links (``u``, ``v``) that join all texts (``whole``, ``fp``, ``keys``, ``sig``) to be compared into clusters."""
-    keyed = prints.select("whole", F.explode("keys").alias("key"), "sig")
+    # Most keys are of one text; the few others' rows get their signatures after that is known.
+    keyed = prints.select("whole", F.explode("keys").alias("key")).repartition("key")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,8 @@ def _candidates(prints: DataFrame, least: float, radius: int) -> DataFrame:
                 vs += whole[lo + groups.root[moved]].tolist()
             yield _edges(us, vs)
 
-    tiles = _tiles(keyed, sizes, "key", "whole").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second", "whole").select("key", "i", "j", "second", "whole", "sig")
+    sigs = prints.select("whole", "sig")
+    tiles = _tiles(keyed, sizes, "key", "whole").join(sigs, "whole").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second", "whole").select("key", "i", "j", "second", "whole", "sig")
     by_part = tiles.mapInArrow(meet, "u long, v long").distinct()
     fps = cut(prints.groupBy("fp").agg(F.min("whole").alias("rep")))
     by_print = prints.join(fps, "fp").where("whole <> rep").select(F.col("whole").alias("u"), F.col("rep").alias("v"))
@@ -214,15 +216,8 @@ def _prints(docs: DataFrame, *, id_col: str, text_col: str, words: int, least: f
     return rows.mapInArrow(run, "doc long, print long, whole long, fp long, n long, keys array<long>, sig binary")
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
-    """Rows (``doc_id``, ``print``, ``n_rows``, ``component_id``, ``root``): for each distinct id and text the smallest id that chains of similar texts reach.
-
-    ``print`` is XXH64 of the text and ``n_rows`` how many rows have this id and
-    text; different texts of one id are different documents. ``root`` names the group. Texts are linked from
-    a similarity of ``least`` on, judged by all their shingles. Texts without words
-    are linked to each other. Rows with a null id are left out. Other columns are
-    ignored. An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """Rows (``doc``, ``print``, ``n_rows``, ``root``): each distinct id and text, in how many rows it is, and the name of its group."""
     spark = docs.sparkSession
     prints, prints_path = stage(_prints(docs, id_col=id_col, text_col=text_col, words=words, least=least), "prints")
     # One text stands for all of equal shingle sets.
@@ -245,8 +240,20 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     named = cut(named.select("doc", "print", "n_rows", F.coalesce("root", "whole").alias("root")))
     unstage(spark, prints_path)
     unstage(spark, texts_path)
+    return named
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """Rows (``doc_id``, ``print``, ``component_id``): for each distinct id and text the smallest id that chains of similar texts reach.
+
+    ``print`` is XXH64 of the text; different texts of one id are different
+    documents. Texts are linked from a similarity of ``least`` on, judged by all
+    their shingles. Texts without words are linked to each other. Rows with a null
+    id are left out. Other columns are ignored. An empty table gives no rows.
+    """
+    named = _grouped(docs, id_col=id_col, text_col=text_col, words=words, least=least, radius=radius)
     least_of = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    return named.join(least_of, "root").select(F.col("doc").alias("doc_id"), "print", "n_rows", "component_id", "root")
+    return named.join(least_of, "root").select(F.col("doc").alias("doc_id"), "print", "component_id")
 
 
 def docs_repeat(prints: DataFrame) -> bool:
@@ -261,8 +268,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **more) -> DataFrame:
     rows of one id and text any one. Different texts of an id are different documents.
     """
     text_col = more.get("text_col", "text")
-    found = near_copies(docs, id_col=id_col, **more)
-    best = cut(found.groupBy("root").agg(F.min(F.struct("doc_id", "print", "n_rows")).alias("b")).select(F.col("b.doc_id").alias("__doc"), F.col("b.print").alias("__print"), F.col("b.n_rows").alias("__rows")))
+    found = _grouped(docs, id_col=id_col, **more)
+    best = cut(found.groupBy("root").agg(F.min(F.struct("doc", "print", "n_rows")).alias("b")).select(F.col("b.doc").alias("__doc"), F.col("b.print").alias("__print"), F.col("b.n_rows").alias("__rows")))
     mine = docs.where(F.col(id_col).isNotNull())
     kept = mine.join(best, (mine[id_col] == F.col("__doc")) & (F.xxhash64(mine[text_col]) == F.col("__print")))
     out = kept.where("__rows = 1").select(*[mine[c] for c in docs.columns])
