@@ -3,8 +3,9 @@
 A prefix tree of the labelled credentials of a format counts how often each state
 is passed and left by each symbol. Its states are merged, red to blue, while a
 Hoeffding bound finds their frequencies compatible; the result is a probabilistic
-automaton. Long runs of credential characters, and what '=', '/' and '.' separate
-in them, are scored under the automata of all formats against one of ordinary text.
+automaton. All runs of credential characters, and what '=', '/' and '.' separate
+in them, are scored under the automata of all formats against one of ordinary text,
+whatever the fixed patterns find there.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 import random
 import re
 import string
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -29,15 +30,17 @@ HEAD = 5
 LEARN, CALIBRATE = 300, 200
 ALPHA = 0.05
 FLOOR = 1e-4
+_FLOOR_BITS = math.log2(FLOOR)
 #: Bits a symbol by which a credential's format must beat ordinary text.
 MARGIN = 0.5
+#: A format takes candidates of the lengths of its labelled credentials, give or take this share.
+SLACK = 0.1
 
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 #: Where candidates start in a run and end in it.
 _START = re.compile(r"(?:\A|(?<=[=/.]))-*([A-Za-z0-9+/_])")
 _END = re.compile(r"[A-Za-z0-9+_](?=-*(?:[=/.]|\Z))|-(?=[=/.]|\Z)|=+")
-_DIGIT, _OTHER = re.compile(r"[0-9]"), re.compile(r"[^0-9]")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -72,17 +75,19 @@ class Automaton:
         """log2 probability of ``seq``; a step that the automaton lacks costs FLOOR and stays in its state."""
         return self.bits_at(seq, [len(seq)])[0]
 
-    def bits_at(self, seq: list[str], ends: list[int]) -> list[float]:
-        """The bits of each prefix of a length in ``ends`` (ascending)."""
+    def bits_at(self, seq: list[str], ends: list[int], least: float = -math.inf) -> list[float]:
+        """The bits of each prefix of a length in ``ends`` (ascending); -inf from where they are under ``least``."""
         q, total, done, out = 0, 0.0, 0, []
         for n in ends:
             for a in seq[done:n]:
                 step = self.next[q].get(a)
                 if step is None:
-                    total += math.log2(FLOOR)
+                    total += _FLOOR_BITS
                 else:
                     q = step[0]
                     total += step[1]
+                if total < least:
+                    return out + [-math.inf] * (len(ends) - len(out))
             done = n
             out.append(total + self.end[q])
         return out
@@ -180,15 +185,32 @@ def _made(rng: random.Random, head: str, alphabet: str, low: int, high: int) ->
 
 
 _ALNUM = string.ascii_letters + string.digits
-_FORMATS = {
-    "hex": lambda r: _made(r, "", "0123456789abcdef", 32, 64),
-    "access": lambda r: _made(r, r.choice(("AKIA", "ASIA")), string.ascii_uppercase + "234567", 16, 16),
-    "prefixed": lambda r: _made(r, r.choice(("ghp_", "gho_", "ghs_", "ghr_")), _ALNUM, 36, 36),
-    "live": lambda r: _made(r, r.choice(("sk_live_", "rk_live_", "sk_test_")), _ALNUM, 24, 32),
+_HEXES = "0123456789abcdef"
+_URLSAFE = _ALNUM + "_-"
+#: Public formats of credentials as (heads, alphabet, least and most characters behind the head, tail).
+_SIMPLE = {
+    "hex": (("",), _HEXES, 32, 64, ""),
+    "access": (("AKIA", "ASIA"), string.ascii_uppercase + "234567", 16, 16, ""),
+    "prefixed": (("ghp_", "gho_", "ghs_", "ghr_", "ghu_"), _ALNUM, 36, 36, ""),
+    "personal": (("github_pat_",), _ALNUM + "_", 82, 82, ""),
+    "project": (("glpat-", "gldt-", "glrt-"), _URLSAFE, 20, 20, ""),
+    "live": (("sk_live_", "rk_live_", "sk_test_"), _ALNUM, 24, 32, ""),
+    "model": (("sk-",), _ALNUM, 48, 48, ""),
+    "hub": (("hf_",), string.ascii_letters, 34, 34, ""),
+    "maps": (("AIza",), _URLSAFE, 35, 35, ""),
+    "package": (("npm_",), _ALNUM, 36, 36, ""),
+    "index": (("pypi-AgEIcHlwaS5vcmc",), _URLSAFE, 70, 110, ""),
+    "shop": (("shpat_", "shpss_", "shpca_"), _HEXES, 32, 32, ""),
+    "cloud": (("dop_v1_", "doo_v1_"), _HEXES, 64, 64, ""),
+    "phone": (("SK", "AC"), _HEXES, 32, 32, ""),
+    "post": (("key-",), _HEXES, 32, 32, ""),
+    "base64": (("",), _ALNUM + "+/", 39, 43, "="),
+    "storage": (("",), _ALNUM + "+/", 86, 86, "=="),
+}
+_FORMATS = {k: lambda r, v=v: _made(r, r.choice(v[0]), v[1], v[2], v[3]) + v[4] for k, v in _SIMPLE.items()} | {
     "chat": lambda r: "-".join((r.choice(("xoxb", "xoxp", "xoxa")), _made(r, "", string.digits, 10, 12), _made(r, "", _ALNUM, 24, 24))),
-    "maps": lambda r: _made(r, "AIza", _ALNUM + "_-", 35, 35),
-    "base64": lambda r: _made(r, "", _ALNUM + "+/", 39, 43) + "=",
-    "signed": lambda r: ".".join(("eyJ" + _made(r, "", _ALNUM, 17, 33), "eyJ" + _made(r, "", _ALNUM, 40, 90), _made(r, "", _ALNUM + "_-", 43, 43))),
+    "mail": lambda r: ".".join(("SG", _made(r, "", _URLSAFE, 22, 22), _made(r, "", _URLSAFE, 43, 43))),
+    "signed": lambda r: ".".join(("eyJ" + _made(r, "", _ALNUM, 17, 60), "eyJ" + _made(r, "", _ALNUM, 40, 600), _made(r, "", _URLSAFE, 43, 43))),
 }
 
 
@@ -215,32 +237,56 @@ def ordinary(seed: int = 11, each: int = 400) -> list[str]:
         lambda: f"{word()}.{rng.randint(1, 99)}.{word()}{rng.randint(1, 9)}.{word()}",
         lambda: f"20{rng.randint(10, 29)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}",
         lambda: rng.choice("=-._") * rng.randint(16, 60),
+        lambda: "/".join(word() + str(rng.randint(0, 9999)) * (rng.random() < 0.5) for _ in range(rng.randint(3, 30))),
+        lambda: "/".join(rng.choice((word(), word().capitalize() + word(), str(rng.randint(0, 99999)), f"{word()}_{word()}", f"{word()}-{rng.randint(1, 99)}")) for _ in range(rng.randint(3, 20))),
+        lambda: "www." + word() + ".com/" + "/".join(word() + "-" + word() for _ in range(rng.randint(2, 8))) + ".html",
+        lambda: "=".join((word() + rng.choice(("", "_id", str(rng.randint(1, 9)))), word() + word() + str(rng.randint(0, 99)))) + "." + word(),
+        lambda: f"{word()}_{rng.randint(1990, 2030)}-{rng.randint(10, 12)}.{word()}.v{rng.randint(1, 30)}.{word()}",
+        lambda: "-".join(_made(rng, "", _HEXES, n, n) for n in (8, 4, 4, 4, 12)),
+        lambda: "".join(word().capitalize() + str(rng.randint(0, 99)) * (rng.random() < 0.3) for _ in range(rng.randint(4, 9))),
     )
     return [k() for k in kinds for _ in range(each)]
 
 
 @dataclass
 class SecretModel:
-    formats: list[tuple[Automaton, float]]
+    """Automata with the least bits a symbol and the lengths that each accepts, and that of ordinary text."""
+
+    formats: list[tuple[Automaton, float, int, int]]
     background: Automaton
 
-    def fits(self, run: str, ends: list[int]) -> list[bool]:
-        """For each prefix of ``run`` of a length in ``ends`` (ascending), whether a format accepts it.
+    @property
+    def shortest(self) -> int:
+        return min((f[2] for f in self.formats), default=1)
+
+    @property
+    def longest(self) -> int:
+        return max((f[3] for f in self.formats), default=0)
+
+    def gains(self, run: str, ends: list[int]) -> list[float]:
+        """For each prefix of ``run`` of a length in ``ends`` (ascending) the bits by which a format that accepts it beats ordinary text, or -inf.
 
-        A format accepts what is as likely as its own credentials and beats ordinary text.
+        A format accepts what has the length of its own credentials, is as likely as
+        they are, and beats ordinary text by MARGIN a symbol.
         """
         seq = symbols(run[: ends[-1]])
-        base = self.background.bits_at(seq, ends)
-        found = [False] * len(ends)
-        for a, least in self.formats:
-            for i, bits in enumerate(a.bits_at(seq, ends)):
-                n = ends[i] + 1
-                found[i] |= bits / n >= least and bits / n >= base[i] / n + MARGIN
+        base: list[float] | None = None
+        found = [-math.inf] * len(ends)
+        for a, least, lo, hi in self.formats:
+            first, last = bisect_left(ends, lo), bisect_right(ends, hi)
+            if first >= last:
+                continue
+            for i, bits in enumerate(a.bits_at(seq, ends[first:last], least * (hi + 1)), first):
+                if bits >= least * (ends[i] + 1):
+                    base = base or self.background.bits_at(seq, ends)
+                    gain = bits - base[i]
+                    if gain >= MARGIN * (ends[i] + 1):
+                        found[i] = max(found[i], gain)
         return found
 
     def is_secret(self, run: str) -> bool:
         """Whether a format's likelihood is as high as those of its own credentials, and beats ordinary text."""
-        return self.fits(run, [len(run)])[0]
+        return self.gains(run, [len(run)])[0] > 0
 
 
 def learn(credentials: dict[str, list[str]] | None = None, common: list[str] | None = None) -> SecretModel:
@@ -250,7 +296,8 @@ def learn(credentials: dict[str, list[str]] | None = None, common: list[str] | N
         cut = max(1, len(texts) * LEARN // (LEARN + CALIBRATE))
         auto = infer(texts[:cut])
         held = [auto.bits(s) / (len(s) + 1) for s in map(symbols, texts[cut:] or texts)]
-        formats.append((auto, min(held)))
+        sizes = list(map(len, texts))
+        formats.append((auto, min(held), math.ceil(min(sizes) * (1 - SLACK)), math.floor(max(sizes) * (1 + SLACK))))
     return SecretModel(formats, infer(common or ordinary()))
 
 
@@ -268,55 +315,46 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _rests(lo: int, hi: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """What the sorted spans ``taken`` leave of a run."""
-    for a, b in taken:
-        if b > lo and a < hi:
-            if a > lo:
-                yield lo, a
-            lo = max(lo, b)
-    if lo < hi:
-        yield lo, hi
-
-
-def candidates(run: str) -> Iterator[tuple[int, list[int]]]:
+def candidates(run: str, shortest: int, longest: int) -> Iterator[tuple[int, list[int]]]:
     """Where a credential may lie in a run: starts, each with its ends (ascending).
 
     Credentials start at the run's start or behind '=', '/' or '.', and end before
-    one, behind '=' signs (padding) or at the run's end. They have 16 characters
-    at least and a digit, and are not all digits.
+    one, behind '=' signs (padding) or at the run's end; their lengths are bounded
+    by those of the formats.
     """
     ends = [m.end() for m in _END.finditer(run)]
     for m in _START.finditer(run):
         lo = m.start(1)
-        digit, other = _DIGIT.search(run, lo), _OTHER.search(run, lo)
-        if digit is None or other is None:
-            continue
-        least = max(lo + 16, digit.end(), other.end())
-        if some := ends[bisect_left(ends, least) :]:
+        if some := ends[bisect_left(ends, lo + shortest) : bisect_right(ends, lo + longest)]:
             yield lo, some
 
 
-def spans(text: str | None, model: SecretModel | None) -> list[tuple[int, int, str]]:
-    """All spans by start, then kind: those of the fixed patterns, and the model's that touch none of them.
+def grammar_spans(run: str, model: SecretModel) -> list[tuple[int, int]]:
+    """The candidates of a run that formats accept: the one that beats ordinary text by most, then others apart from it.
 
-    Candidates of the model that overlap make one span, so that all of each is covered.
+    The more candidates a run has, the more one must gain, by the logarithm of their number.
     """
+    some = list(candidates(run, model.shortest, model.longest))
+    least = math.log2(1 + sum(len(ends) for _, ends in some))
+    good = []
+    for lo, ends in some:
+        gains = model.gains(run[lo : ends[-1]], [e - lo for e in ends])
+        good += [(-g, lo, e) for g, e in zip(gains, ends, strict=True) if g >= least]
+    found: list[tuple[int, int]] = []
+    for _, lo, hi in sorted(good):
+        at = bisect_left(found, (lo, hi))
+        if (at == 0 or found[at - 1][1] <= lo) and (at == len(found) or found[at][0] >= hi):
+            found.insert(at, (lo, hi))
+    return found
+
+
+def spans(text: str | None, model: SecretModel | None) -> list[tuple[int, int, str]]:
+    """All spans by start, then kind: those of the fixed patterns, and what the model finds, wherever it lies."""
     text = text or ""
     found = base_spans(text)
     if model is not None:
-        taken = sorted((a, b) for a, b, _ in found)
-        for r in _RUN.finditer(text):
-            if not _DIGIT.search(r[0]):
-                continue
-            for at, end in _rests(r.start(), r.end(), [t for t in taken if t[1] > r.start() and t[0] < r.end()]):
-                held: list[tuple[int, int]] = []
-                for lo, ends in candidates(text[at:end]):
-                    for e, fits in zip(ends, model.fits(text[at + lo : end], [e - lo for e in ends]), strict=True):
-                        if fits:
-                            joined = held.pop() if held and at + lo < held[-1][1] else (at + lo, 0)
-                            held.append((joined[0], max(joined[1], at + e)))
-                found += [(lo, hi, "grammar") for lo, hi in held]
+        for r in re.finditer(r"[A-Za-z0-9+/_.=-]{%d,}" % model.shortest, text):
+            found += [(r.start() + lo, r.start() + hi, "grammar") for lo, hi in grammar_spans(r[0], model)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
