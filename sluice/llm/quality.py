@@ -24,8 +24,6 @@ DICT_BYTES = 112_640
 LEVEL = 3
 #: The classifier is fitted on at most so many labelled texts of a class, the first by a hash of the id; counts of them calibrate it.
 FIT_ROWS = 1_500
-#: Of one labelled text at most so many evenly spread pieces go into a dictionary; the calibration takes whole texts.
-FIT_PIECES = 16
 
 
 def pieces(text: str | None) -> list[bytes]:
@@ -69,8 +67,7 @@ def _dictionary(texts: list[str]) -> bytes:
 
     samples: list[bytes] = []
     for t in texts:
-        parts = [p for p in pieces(t) if len(p) >= 8]
-        samples += parts[:: max(1, math.ceil(len(parts) / FIT_PIECES))]
+        samples += [p for p in pieces(t) if len(p) >= 8]
     size = DICT_BYTES
     while size >= 1024:
         try:
@@ -108,16 +105,19 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on at most ``fit_rows`` labelled texts of each class outside the held-out fold.
 
     Rows with a null id, or a label other than 0 and 1, teach nothing; of repeated
-    labels of one id all count. Without labels the score is the prior, 0.5.
+    labels of one id all count, and of different texts of one id that of least
+    hash. Without labels the score is the prior, 0.5.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold_of(F.col("id"), folds) != held_out))
     picked = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "id").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked.groupBy("id", "y").count()), "id")
+    # However many rows an id has, one text of it comes to the driver for each label.
+    rows = rows.groupBy("id", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.first("count").alias("n")).collect()
     rows.sort(key=lambda r: (hash_of(r["id"]), r["y"]))
-    return fit([(r["t"], r["y"]) for r in rows])
+    return fit([(r["t"], r["y"]) for r in rows for _ in range(min(r["n"], fit_rows))])
 
 
 def hash_of(x: object) -> int:

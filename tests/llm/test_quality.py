@@ -38,3 +38,22 @@ def test_whole_text_counts():
     s = quality._Sizer(m.good, m.bad)
     assert s.difference("aaa bbb ccc " * 400) > s.difference("aaa bbb ccc " * 200 + "ZZZ!! YYY?? " * 200) > s.difference("ZZZ!! YYY?? " * 400)
     assert s.difference(None) == s.difference("") == 0.0
+
+
+def test_rows_of_one_id_come_bounded(spark, monkeypatch):  # noqa: ANN001
+    """An id that many rows hold sends one text to the driver."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", seen.append)
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 0)], "doc_id long, quality int")
+    quality.train(docs, labels, fit_rows=10, folds=1, held_out=1)
+    assert sorted((t or "")[:5] + str(y) for t, y in seen[0]) == ["0", "other0", "other0", "text 1"]
+
+
+def test_query_holds_out_no_null_id(spark, tmp_path):  # noqa: ANN001
+    from sluice.llm import queries
+
+    for name, rows, schema in (("documents", [(1, "one"), (None, "two"), (5, None)], "doc_id long, text string"), ("labels", [(1, 1)], "doc_id long, quality int")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r["doc_id"]: r["held_out"] for r in queries.op6_quality(spark, str(tmp_path)).collect()}
+    assert got == {1: quality_fold(1) == 0, 5: quality_fold(5) == 0, None: False}

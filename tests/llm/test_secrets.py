@@ -115,11 +115,11 @@ def test_credentials_inside_runs_are_found(model):  # noqa: ANN001
         lo = len(before)
         found = {kind: sum(any(a <= lo and b >= lo + len(t) for a, b, _ in secrets.spans(before + t + behind, model)) for t in texts) for kind, texts in fresh.items()}
         # Formats with '/' and '.' inside are themselves cut, so a name with a part of them may win.
-        cut = {"base64", "storage", "signed"}
-        assert all(found[k] >= 38 for k in found.keys() - cut) and sum(found[k] for k in cut) >= 90, (before, found)
+        cut = {"base64", "storage", "signed", "mail"}
+        assert all(found[k] >= 38 for k in found.keys() - cut) and all(found[k] >= 28 for k in cut), (before, found)
     key = fresh["prefixed"][0]
     assert secrets.spans(f"GITHUB_PAT={key}", model) == [(11, 11 + len(key), "grammar")]
-    assert secrets.spans(f"{'0a' * 20}/{key}", model) == [(0, 40, "hex"), (0, 40, "grammar"), (41, 41 + len(key), "grammar")]
+    assert secrets.spans(f"{'0a' * 20}/{key}", model) == [(0, 40, "hex"), (0, 41 + len(key), "grammar")]  # '/' is a credential character too
     common = secrets.ordinary(seed=999, each=20)
     assert sum(any(k == "grammar" for _, _, k in secrets.spans(t, model)) for t in common) <= 0.01 * len(common)
 
