@@ -4,9 +4,12 @@ Counts of all training words give a unigram base score. The recurrent model sees
 the most frequent words as themselves and every other word as one of a few
 classes of word shape; a word's probability is that of its class, times that of
 the word within it: by softmax for frequent words, by add-one counts for others.
-Weights start from a bounded sample and are then trained on every training
-document where it lies, and averaged. States carry over windows, so a text is
-scored as a whole. Words beyond the broadcast table get their counts by a join.
+Weights start from a bounded sample. Then every training document is dealt by
+hash to one of several rounds and shards; the shards of a round are trained side
+by side from the same weights, and averaged for the next round. So the result
+depends on the rows and not on how they are partitioned. States carry over
+windows, so a text is scored as a whole. Words beyond the broadcast table get
+their counts by a join.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ HIDDEN = 16
 WINDOW, LANES = 24, 1024
 #: Training documents, the first by a hash of the id, of the warm-up; passes over them; learning rates of warm-up and of the pass over all.
 WARM_DOCS, WARM_PASSES, WARM_RATE, RATE = 1_000, 3, 8e-3, 1.5e-3
+#: Rounds of the pass over all; tokens of a shard while there are few shards, and however many there are.
+ROUNDS, SHARD_TOKENS, LARGE_SHARD_TOKENS, FEW_SHARDS = 2, 1 << 20, 1 << 26, 2048
+#: A shard is read in blocks of so many texts, or fewer of so many tokens together.
+BLOCK_TEXTS, BLOCK_TOKENS = 4096, 1 << 22
 FLUSH_WORDS = 200_000
 SLICES = 8
 LOG10 = float(np.log(10.0))
@@ -343,7 +350,8 @@ def prepare(docs: DataFrame, counts: DataFrame) -> Model:
     model = Model({w: i for i, (w, _) in enumerate(top)}, numbers, logs, classes, Weights.fresh(classes, unigram).pack(), sums["n"], sums["v"], by_shape)
 
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS)
-    warm = docs.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", "text").collect()
+    # However many rows an id has, one text of it comes to the driver.
+    warm = docs.join(F.broadcast(ids.distinct()), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     net = Net(Weights.unpack(model.weights, classes), classes)
     texts = [model.ids(words(r["text"]))[0] for r in sorted(warm, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"] or ""))]
     for p in range(WARM_PASSES if texts else 0):
@@ -353,14 +361,11 @@ def prepare(docs: DataFrame, counts: DataFrame) -> Model:
     return model
 
 
-_CODED = [("row", "long", pa.int64()), ("n_tokens", "long", pa.int64()), ("n_known", "long", pa.int64()), ("base", "double", pa.float64()), ("rare", "double", pa.float64()), ("ids", "binary", pa.binary()), ("rest", "array<binary>", pa.list_(pa.binary())), ("times", "array<long>", pa.list_(pa.int64())), ("slice", "int", pa.int32()), ("n", "long", pa.int64()), ("raw", "binary", pa.binary())]
+_CODED = [("row", "long", pa.int64()), ("teach", "boolean", pa.bool_()), ("n_tokens", "long", pa.int64()), ("n_known", "long", pa.int64()), ("base", "double", pa.float64()), ("rare", "double", pa.float64()), ("ids", "binary", pa.binary()), ("rest", "array<binary>", pa.list_(pa.binary())), ("times", "array<long>", pa.list_(pa.int64()))]
 
 
 def encode(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows (doc_id, text, teach) as tokens with their counts; each task also trains a copy of the net on those that teach.
-
-    What a task has learned comes as further rows, its weights in SLICES pieces.
-    """
+    """Rows (doc_id, text, teach) as the net's tokens with their counts."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", *[n for n, _, _ in _CODED]]
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -371,34 +376,79 @@ def encode(rows: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         base = m.classes * CLASS_SIZE
         shape_log = np.log10(np.array(m.shape_total, dtype=np.float64))
-        net, learned = Net(Weights.unpack(m.weights, m.classes), m.classes), 0
-        number, kind = TaskContext.get().partitionId() << 40, pa.int64()
+        number = TaskContext.get().partitionId() << 40
         for b in batches:
-            kind = b.column(0).type
-            texts, out = [], []
+            out = []
             for t, teach in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 w = words(t.as_py())
                 ids, known, places = m.ids(w)
-                if teach:
-                    texts.append(ids)
                 rest = Counter(w[i] for i in places.tolist())
                 rare = ids >= base
-                out.append((number, len(w), len(w) - len(places), float(known.sum()), float(known[rare].sum() - shape_log[ids[rare] - base].sum()), ids.astype("<u2").tobytes(), list(rest), list(rest.values()), None, None, None))
+                out.append((number, teach, len(w), len(w) - len(places), float(known.sum()), float(known[rare].sum() - shape_log[ids[rare] - base].sum()), ids.astype("<u2").tobytes(), list(rest), list(rest.values())))
                 number += 1
-            net.run(texts, RATE)
-            learned += sum(map(len, texts))
             cols = list(zip(*out, strict=True)) if out else [[]] * len(_CODED)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, (_, _, k) in zip(cols, _CODED, strict=True)]], names=names)
-        if learned:
-            pieces = [p.tobytes() for p in np.array_split(np.frombuffer(Weights(net.w).pack(), dtype="<f4"), SLICES)]
-            cols = [[None] * SLICES] * (len(_CODED) - 3) + [list(range(SLICES)), [learned] * SLICES, pieces]
-            yield pa.RecordBatch.from_arrays([pa.array([None] * SLICES, kind), *[pa.array(c, k) for c, (_, _, k) in zip(cols, _CODED, strict=True)]], names=names)
 
     return rows.select("doc_id", "text", "teach").mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{n} {t}" for n, t, _ in _CODED))
 
 
-def averaged(coded: DataFrame, model: Model) -> bytes:
-    """The mean of the tasks' weights, by the tokens that each has learned from; piece by piece, so that no task holds more than a sum."""
+def shards_of(tokens: int) -> int:
+    """Shards of a round that learns ``tokens``."""
+    return max(1, min(FEW_SHARDS, tokens // SHARD_TOKENS), tokens // LARGE_SHARD_TOKENS)
+
+
+def train(coded: DataFrame, model: Model) -> bytes:
+    """Weights that have learned from every teaching text once."""
+    classes, weights = model.classes, model.weights
+    shards = shards_of(model.total // ROUNDS)
+    key = F.xxhash64("doc_id", "ids")
+    texts = coded.where("teach").select(key.alias("key"), "ids").withColumn("round", F.pmod(F.shiftright("key", 40), F.lit(ROUNDS))).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    for r in range(ROUNDS):
+        weights = averaged(_learned(texts.where(F.col("round") == r), weights, classes, shards)) or weights
+    return weights
+
+
+def _learned(texts: DataFrame, weights: bytes, classes: int, shards: int) -> DataFrame:
+    """Rows (``slice``, ``shard``, ``n``, ``raw``): the weights that each shard of ``texts`` (key, ids, shard) has learned, in pieces, and from how many tokens."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, net, learned = None, None, 0
+        block: list[np.ndarray] = []
+
+        def learn() -> None:
+            nonlocal block, learned
+            if block:
+                net.run(block, RATE)
+                learned += sum(map(len, block))
+            block = []
+
+        def out() -> pa.RecordBatch:
+            pieces = [p.tobytes() for p in np.array_split(np.frombuffer(Weights(net.w).pack(), dtype="<f4"), SLICES)]
+            return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([at] * SLICES, pa.int32()), pa.array([learned] * SLICES, pa.int64()), pa.array(pieces, pa.binary())], names=["slice", "shard", "n", "raw"])
+
+        held = 0
+        for b in batches:
+            for shard, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if shard != at:
+                    if at is not None:
+                        learn()
+                        yield out()
+                    at, net, learned, held = shard, Net(Weights.unpack(weights, classes), classes), 0, 0
+                block.append(np.frombuffer(ids, dtype="<u2").astype(np.int64))
+                held += len(block[-1])
+                if len(block) >= BLOCK_TEXTS or held >= BLOCK_TOKENS:
+                    learn()
+                    held = 0
+        if at is not None:
+            learn()
+            yield out()
+
+    dealt = texts.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "ids").select("shard", "ids")
+    return dealt.mapInArrow(run, "slice int, shard int, n long, raw binary")
+
+
+def averaged(learned: DataFrame) -> bytes:
+    """The mean of the shards' weights, by the tokens that each has learned from; piece by piece and in a fixed order, so that no task holds more than a sum."""
 
     def mean(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[int, np.ndarray]] = {}
@@ -410,8 +460,8 @@ def averaged(coded: DataFrame, model: Model) -> bytes:
         cols = list(zip(*rows_out, strict=True)) if rows_out else [[], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["slice", "raw"])
 
-    parts = coded.where("slice is not null").select("slice", "n", "raw").repartition(SLICES, "slice").mapInArrow(mean, "slice int, raw binary").collect()
-    return b"".join(bytes(r["raw"]) for r in sorted(parts, key=lambda r: r["slice"])) or model.weights
+    parts = learned.repartition(SLICES, "slice").sortWithinPartitions("slice", "shard").select("slice", "n", "raw").mapInArrow(mean, "slice int, raw binary").collect()
+    return b"".join(bytes(r["raw"]) for r in sorted(parts, key=lambda r: r["slice"]))
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -428,10 +478,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     training = rows.where("teach").select("doc_id", "text")
     counts, counts_path = stage(word_counts(training), "counts")
     model = prepare(training, counts)
-    coded, _ = stage(encode(rows, model), "coded")
-    weights, classes = averaged(coded, model), model.classes
+    texts, _ = stage(encode(rows, model), "coded")
+    weights, classes = train(texts, model), model.classes
 
-    texts = coded.where("slice is null")
     rest = texts.select("row", F.explode(F.arrays_zip("rest", "times")).alias("e")).select("row", F.col("e.rest").alias("w"), F.col("e.times").alias("times"))
     found = cut(rest.join(counts, "w").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs")))
     unstage(spark, counts_path)

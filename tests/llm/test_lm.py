@@ -91,6 +91,47 @@ def test_beats_the_base_on_held_out_texts(spark):  # noqa: ANN001
     assert len(out) > 60 and sum(r["score"] for r in out) > sum(r["base_score"] for r in out) + 0.1 * sum(r["n_tokens"] for r in out)
 
 
+def plain_score(text, model, counts):  # noqa: ANN001, ANN201
+    """log10 probability of a text, step by step in double precision, without lanes, windows or tables."""
+    a = [x.astype(np.float64) for x in lm.Weights.unpack(model.weights, model.classes).arrays]
+    inputs, u, wc, bc, wo, bo = a
+    k, base, h, last, total = lm.HIDDEN, model.classes * lm.CLASS_SIZE, np.zeros(lm.HIDDEN), model.classes * lm.CLASS_SIZE + lm.SHAPES, 0.0
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for w in tokens(text):
+        g = inputs[last]
+        z, r = (1 / (1 + np.exp(-(g[i * k : i * k + k] + h @ u[:, i * k : i * k + k]))) for i in (0, 1))
+        c = np.tanh(g[2 * k :] + (r * h) @ u[:, 2 * k :])
+        h = c + z * (h - c)
+        outer = softmax(h @ wc + bc)
+        at = model.index.get(w.encode(), None)
+        last = base + lm.shape(w.encode()) if at is None else int(model.numbers[at])
+        if last < base:
+            group = last // lm.CLASS_SIZE
+            total += math.log10(outer[group] * softmax(h @ wo[group] + bo[group])[last % lm.CLASS_SIZE])
+        else:
+            total += math.log10(outer[model.classes + last - base] * (counts[w] + 1) / model.shape_total[last - base])
+    return total
+
+
+def test_scores_equal_a_plain_pass_whatever_the_partitioning(spark, docs, rows, monkeypatch):  # noqa: ANN001
+    monkeypatch.setattr(lm, "TABLE_WORDS", 150)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 3000)
+    models = []
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda coded, model: models.append((model, train(coded, model))) or models[-1][1])
+    c: Counter[str] = Counter()
+    for i, t in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(tokens(t))
+    got = [sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score(d).collect()) for d in (docs.coalesce(1), docs.repartition(7))]
+    assert models[0][1] == models[1][1] != models[0][0].weights and lm.shards_of(models[0][0].total // lm.ROUNDS) > 3
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-5 * abs(a[2]) for a, b in zip(*got, strict=True))
+    model = models[0][0]
+    model.weights = models[0][1]
+    want = sorted((str(i), len(tokens(t)), plain_score(t, model, c)) for i, t in rows)
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-4 * abs(a[2]) for a, b in zip(got[0], want, strict=True))
+
+
 def test_shapes():
     assert {lm.shape(w.encode()) for w in ("a", "abcdef", "abcdefghi", "x" * 20, "é", "a.", "é.", "…")} <= set(range(lm.SHAPES))
     assert lm.words(None) == [lm.END] == lm.words("") and lm.words("A É\tb") == [b"a", "É".encode(), b"b", lm.END]
