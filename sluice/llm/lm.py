@@ -29,7 +29,7 @@ from sluice.llm._common import cut, stage, unstage
 #: The token that ends a text. No word equals it, as words hold no white space.
 END = b"\n"
 #: Words that the recurrent model knows, in classes of equal size; further words of the table that every task holds.
-FREQUENT, CLASS_SIZE, TABLE_WORDS = 1024, 64, 131_072
+FREQUENT, CLASS_SIZE, TABLE_WORDS = 2048, 64, 131_072
 SHAPES = 16
 HIDDEN = 16
 #: Steps of truncated backpropagation, and texts side by side.
