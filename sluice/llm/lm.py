@@ -34,6 +34,8 @@ SHAPES = 16
 HIDDEN = 16
 #: Steps of truncated backpropagation, and texts side by side.
 WINDOW, LANES = 24, 1024
+#: Where few texts are left side by side, windows are up to so many times longer.
+STRETCH = 8
 #: Training documents, the first by a hash of the id, of the warm-up; passes over them; learning rates of warm-up and of the pass over all.
 WARM_DOCS, WARM_PASSES, WARM_RATE, RATE = 1_000, 3, 8e-3, 1.5e-3
 #: Rounds of the pass over all; tokens of a shard while there are few shards, and however many there are.
@@ -227,9 +229,11 @@ class Net:
             begin = np.cumsum(size) - size
             h = np.zeros((len(block), HIDDEN), dtype=np.float32)
             last = np.full(len(block), self.start, dtype=np.int64)
-            for at in range(0, int(size[0]), WINDOW):
+            at, end = 0, int(size[0])
+            while at < end:
                 live = int(np.searchsorted(-size, -at))  # texts longer than ``at``
-                step = np.arange(at, min(at + WINDOW, int(size[0])))[:, None]
+                step = np.arange(at, min(at + WINDOW * max(1, min(STRETCH, LANES // 16 // live)), end))[:, None]
+                at += len(step)
                 inside = step < size[:live]
                 y = np.where(inside, flat_texts[np.where(inside, begin[:live] + step, 0)], -1)
                 steps = len(y)
