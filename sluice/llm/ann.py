@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample; every row is then filed in a leaf. A query
-descends through a priority queue of nodes, best centre first, and visits leaves
+The tree's upper part is fitted on a bounded sample; every row is then filed in a
+leaf, and each leaf of many rows gets a tree of its own below it, fitted where its
+rows are, so that leaves grow in number with the rows. A query descends through a priority queue of nodes, best centre first, and visits leaves
 until the number of visits that a calibration found enough for the wanted recall.
 Leaves lie in cells of bounded size, which are the units of work; a query goes
 once to each cell that holds a leaf it visits.
@@ -27,6 +28,10 @@ BRANCHES, LEAF_ROWS, ITERATIONS = 12, 40, 12
 #: So many queries, the first by a hash of the id, are answered exactly to calibrate the visits.
 CALIBRATION = 200
 TARGET = 0.97
+#: Spreads that a node's rows are hoped to lie nearer than its centre.
+OPTIMISM = 0.5
+#: A leaf of more rows gets a tree of its own, fitted on so many of its rows. The whole tree stays under 1,000 times the sub-sample's leaves.
+SPLIT_ROWS, SUB_FIT = 4_096, 2_048
 #: Rows of a cell.
 CELL_ROWS = 8_192
 BLOCK = 256
@@ -34,9 +39,10 @@ BLOCK = 256
 
 @dataclass
 class Tree:
-    """Nodes in order of making; ``kids[n]`` are numbers of nodes, ``leaf[n]`` a leaf's number or -1."""
+    """Nodes in order of making; ``spread[n]`` is the root of the mean square distance of its rows, ``kids[n]`` are numbers of nodes, ``leaf[n]`` a leaf's number or -1."""
 
     centres: np.ndarray
+    spread: np.ndarray
     kids: list[list[int]]
     leaf: list[int]
 
@@ -44,6 +50,10 @@ class Tree:
     def leaves(self) -> int:
         return 1 + max(self.leaf)
 
+    def scores(self, q: np.ndarray) -> np.ndarray:
+        """How promising each node is for each query: the product with its centre, and more the wider its rows are spread."""
+        return q @ self.centres.T + OPTIMISM * np.sqrt((q * q).sum(1))[:, None] * self.spread
+
     def file(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row, by the nearest centre at every level."""
         out = np.zeros(len(x), dtype=np.int32)
@@ -59,29 +69,59 @@ class Tree:
             todo += [(k, rows[near == i]) for i, k in enumerate(self.kids[n])]
         return out
 
-    def visits(self, scores: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order, ``most`` at most; ``scores`` are a query's products with all centres."""
+    def visits(self, scores: np.ndarray, most: int, counts: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """Leaves in best-bin-first order, ``most`` of them, or more until they hold ``rows`` by ``counts``; ``scores`` are a query's for all nodes."""
         queue: list[tuple[float, int]] = [(0.0, 0)]
         found: list[int] = []
-        while queue and len(found) < most:
+        held = rows if counts is None else 0
+        while queue and (len(found) < most or held < rows):
             _, n = heapq.heappop(queue)
             if self.leaf[n] >= 0:
                 found.append(self.leaf[n])
+                held += 0 if counts is None else int(counts[self.leaf[n]])
             else:
                 for k in self.kids[n]:
                     heapq.heappush(queue, (-scores[k], k))
         return found
 
+    def graft(self, subs: dict[int, Tree]) -> Tree:
+        """This tree with trees in place of some of its leaves."""
+        centres, spread, kids, leaf, leaves = [self.centres], [self.spread], [list(k) for k in self.kids], [-1] * len(self.leaf), 0
+        for n, old in enumerate(self.leaf):
+            sub = subs.get(old) if old >= 0 else None
+            if sub is None:
+                if old >= 0:
+                    leaf[n], leaves = leaves, leaves + 1
+                continue
+            first = len(kids)  # the sub-tree's root is node n itself
+            number = lambda k, n=n, first=first: n if k == 0 else first + k - 1
+            for k, (own, at) in enumerate(zip(sub.kids, sub.leaf, strict=True)):
+                moved, place = [number(x) for x in own], -1
+                if at >= 0:
+                    place, leaves = leaves, leaves + 1
+                if k == 0:
+                    kids[n], leaf[n] = moved, place
+                else:
+                    kids.append(moved)
+                    leaf.append(place)
+            centres.append(sub.centres[1:])
+            spread.append(sub.spread[1:])
+        return Tree(np.concatenate(centres), np.concatenate(spread), kids, leaf)
+
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres * centres).sum(1) / 2
     return np.concatenate([np.argmax(x[i : i + 8192] @ centres.T - half, axis=1) for i in range(0, len(x), 8192)])
 
 
+def _spread(x: np.ndarray) -> float:
+    return float(np.sqrt(((x - x.mean(0)) ** 2).sum(1).mean()))
+
+
 def fit(sample: np.ndarray, seed: int = 5) -> Tree:
     """Hierarchical k-means; a node of at most LEAF_ROWS sample rows, or of equal rows, is a leaf."""
     rng = np.random.default_rng(seed)
-    centres, kids, leaf, leaves = [sample.mean(0)], [[]], [-1], 0
+    centres, spread, kids, leaf, leaves = [sample.mean(0)], [_spread(sample)], [[]], [-1], 0
     todo = [(0, sample)]
     while todo:
         n, x = todo.pop()
@@ -101,9 +141,10 @@ def fit(sample: np.ndarray, seed: int = 5) -> Tree:
             kids[n].append(len(centres))
             todo.append((len(centres), p))
             centres.append(p.mean(0))
+            spread.append(_spread(p))
             kids.append([])
             leaf.append(-1)
-    return Tree(np.array(centres), kids, leaf)
+    return Tree(np.array(centres), np.array(spread), kids, leaf)
 
 
 def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -114,16 +155,27 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return s
 
 
-def best(q: np.ndarray, own: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def products(q: np.ndarray, v: np.ndarray, leaf: np.ndarray, leaves: list[list[int]]) -> np.ndarray:
+    """Products of each query with the rows of the leaves that it visits; -inf for all other rows. ``leaf`` is sorted."""
+    s = np.full((len(q), len(v)), -np.inf)
+    asked: dict[int, list[int]] = {}
+    for i, ns in enumerate(leaves):
+        for n in ns:
+            asked.setdefault(n, []).append(i)
+    for n, rows in asked.items():
+        lo, hi = np.searchsorted(leaf, [n, n + 1])
+        s[rows, lo:hi] = q[rows] @ v[lo:hi].T
+    return s
+
+
+def best(q: np.ndarray, own: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, s: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` best rows of ``v`` for each row of ``q``: (query row, row of v, score).
 
-    Rows with the query's own id are left out, and those not ``allowed``. Products
-    by BLAS select; whatever is within rounding of the k-th is scored exactly.
+    Rows with the query's own id are left out. Products ``s`` by BLAS (-inf: not
+    to be found) select; whatever is within rounding of the k-th is scored exactly.
     """
-    s = q @ v.T
+    s = q @ v.T if s is None else s
     s[own[:, None] == ids[None, :]] = -np.inf
-    if allowed is not None:
-        s[~allowed] = -np.inf
     if s.shape[1] > k:
         kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
         slack = 1e-12 * np.sqrt((q * q).sum(1)) * math.sqrt((v * v).sum(1).max())
@@ -194,16 +246,13 @@ def search(vectors: DataFrame, *, k: int = 20, query_modulus: int = 20, id_col:
     picked = data.orderBy(F.xxhash64("vec"), "id").limit(FIT_ROWS).select("vec").collect()
     tree = fit(np.frombuffer(b"".join(sorted(r["vec"] for r in picked)), dtype="<f8").reshape(-1, dims))
 
-    def file(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leaf = tree.file(_matrix(b.column(1), dims))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int32())], names=["id", "vec", "leaf"])
-
-    filed = cut(data.mapInArrow(file, "id long, vec binary, leaf int"))
+    filed, counts = _filed(data, tree, dims)
+    if any(c > SPLIT_ROWS for c in counts.values()):
+        tree = tree.graft(_subtrees(filed, [n for n, c in counts.items() if c > SPLIT_ROWS], dims))
+        filed, counts = _filed(data, tree, dims)
     visits = _calibrate(filed, queries, tree, dims, k, target)
 
     # Cells: whole small leaves together, large leaves in several by a hash of the id. One entry a leaf is known to the driver.
-    counts = {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}
     first, parts, cell, room = [0] * tree.leaves, [1] * tree.leaves, 0, CELL_ROWS
     for n in range(tree.leaves):
         c = counts.get(n, 0)
@@ -220,16 +269,22 @@ def search(vectors: DataFrame, *, k: int = 20, query_modulus: int = 20, id_col:
     known = spark.createDataFrame([(n, first[n], parts[n]) for n in range(tree.leaves)], "leaf int, first int, parts int")
     rows_at = filed.join(F.broadcast(known), "leaf").select((F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("cell"), F.lit(0).alias("side"), "id", "leaf", F.lit(None).cast("array<int>").alias("leaves"), "vec")
 
+    sizes_of = np.array([counts.get(n, 0) for n in range(tree.leaves)])
+    sent = spark.sparkContext.broadcast((tree, first, parts, sizes_of))
+
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, first, parts, sizes_of = sent.value
         for b in batches:
             ids = b.column(0).to_pylist()
             raw = b.column(1).to_pylist()
-            scores = _matrix(b.column(1), dims) @ tree.centres.T
-            for lo in range(0, len(ids), 512):
+            vectors = _matrix(b.column(1), dims)
+            for lo in range(0, len(ids), BLOCK):
                 out: list[tuple] = []
-                for i in range(lo, min(lo + 512, len(ids))):
+                scores = tree.scores(vectors[lo : lo + BLOCK])
+                for i in range(lo, min(lo + BLOCK, len(ids))):
                     to: dict[int, list[int]] = {}
-                    for n in tree.visits(scores[i], visits):
+                    # Leaves beyond the calibrated number, if need be, until there are k rows beside the query's own.
+                    for n in tree.visits(scores[i - lo], visits, sizes_of, k + 1):
                         for c in range(first[n], first[n] + parts[n]):
                             to.setdefault(c, []).append(n)
                     out += [(c, 1, ids[i], -1, ns, raw[i]) for c, ns in to.items()]
@@ -259,20 +314,59 @@ def search(vectors: DataFrame, *, k: int = 20, query_modulus: int = 20, id_col:
                     continue
                 if not ids:
                     continue
-                ready = ready or (np.concatenate(ids), np.concatenate(leaf), np.concatenate(v))
+                if ready is None:
+                    order = np.argsort(np.concatenate(leaf), kind="stable")
+                    ready = tuple(np.concatenate(x)[order] for x in (ids, leaf, v))
                 for o in range(0, hi - lo, BLOCK):
                     some = part.slice(o, BLOCK)
                     own = some.column(2).to_numpy()
-                    allowed = np.zeros((len(own), tree.leaves), dtype=bool)
-                    for i, ns in enumerate(some.column(4).to_pylist()):
-                        allowed[i, ns] = True
-                    i, j, s = best(_matrix(some.column(5), dims), own, ready[2], ready[0], k, allowed[:, ready[1]])
+                    q = _matrix(some.column(5), dims)
+                    i, j, s = best(q, own, ready[2], ready[0], k, products(q, ready[2], ready[1], some.column(4).to_pylist()))
                     yield pa.RecordBatch.from_arrays([pa.array(own[i], pa.int64()), pa.array(ready[0][j], pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
     near = rows_at.unionByName(asked).repartition(max(1, min(cells, 10_000)), "cell").sortWithinPartitions("cell", "side").mapInArrow(meet, "query_id long, vec_id long, score double")
     return _top(near.distinct(), k).select("query_id", "rank", "vec_id", "score")
 
 
+def _filed(data: DataFrame, tree: Tree, dims: int) -> tuple[DataFrame, dict[int, int]]:
+    """``data`` (id, vec) with each row's ``leaf``, and the rows of each leaf."""
+    sent = data.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf = sent.value.file(_matrix(b.column(1), dims))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int32())], names=["id", "vec", "leaf"])
+
+    filed = cut(data.mapInArrow(run, "id long, vec binary, leaf int"))
+    return filed, {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}
+
+
+def _subtrees(filed: DataFrame, leaves: list[int], dims: int) -> dict[int, Tree]:
+    """A tree for each of ``leaves``, fitted on SUB_FIT of its rows at most, the first by a hash of the vector."""
+    some = filed.where(F.col("leaf").isin(leaves)).withColumn("n", F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("vec"), "id"))).where(F.col("n") <= SUB_FIT)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: int | None = None
+        held: list[bytes] = []
+
+        def out() -> pa.RecordBatch:
+            t = fit(np.frombuffer(b"".join(held), dtype="<f8").reshape(-1, dims))
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([t.centres.tobytes()], pa.binary()), pa.array([t.spread.tobytes()], pa.binary()), pa.array([t.kids], pa.list_(pa.list_(pa.int32()))), pa.array([t.leaf], pa.list_(pa.int32()))], names=["leaf", "centres", "spread", "kids", "leaves"])
+
+        for b in batches:
+            for leaf, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if leaf != at and held:
+                    yield out()
+                    held = []
+                at = leaf
+                held.append(vec)
+        if held:
+            yield out()
+
+    rows = some.repartition("leaf").sortWithinPartitions("leaf", "n").select("leaf", "vec").mapInArrow(run, "leaf int, centres binary, spread binary, kids array<array<int>>, leaves array<int>")
+    return {r["leaf"]: Tree(np.frombuffer(r["centres"], dtype="<f8").reshape(-1, dims), np.frombuffer(r["spread"], dtype="<f8"), [list(k) for k in r["kids"]], list(r["leaves"])) for r in rows.collect()}
+
+
 def exact_neighbours(filed: DataFrame, q: np.ndarray, own: np.ndarray, dims: int, k: int) -> DataFrame:
     """The true ``k`` best of a stated, bounded query set, with their leaves, by one scan in blocks."""
 
@@ -293,7 +387,7 @@ def _calibrate(filed: DataFrame, queries: DataFrame, tree: Tree, dims: int, k: i
         return 1
     own = np.array([r["id"] for r in some])
     q = np.frombuffer(b"".join(r["vec"] for r in some), dtype="<f8").reshape(-1, dims)
-    scores = q @ tree.centres.T
+    scores = tree.scores(q)
     place = {int(o): {n: i for i, n in enumerate(tree.visits(s, tree.leaves))} for o, s in zip(own, scores, strict=True)}
     seen = [place[r["query_id"]][r["leaf"]] for r in exact_neighbours(filed, q, own, dims, k).select("query_id", "leaf").collect()]
     if not seen:

@@ -84,6 +84,77 @@ def test_visits_are_best_first():
     tree = ann.fit(np.random.default_rng(0).normal(size=(2000, 4)))
     assert tree.leaves > 20
     q = np.array([1.0, 0.5, -0.2, 0.1])
-    order = tree.visits(tree.centres @ q, tree.leaves)
+    order = tree.visits(tree.scores(q[None])[0], tree.leaves)
     assert sorted(order) == list(range(tree.leaves))
     assert set(tree.file(np.random.default_rng(1).normal(size=(100, 4))).tolist()) <= set(order)
+
+
+def clustered(n, groups, dims=16, seed=4):  # noqa: ANN001, ANN201
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dims)) * 3
+    x = (centres[np.arange(n) % groups] + rng.normal(size=(n, dims))).astype("f4")
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def found(spark, x, monkeypatch):  # noqa: ANN001, ANN201
+    """Recall against exact search, visits and leaves."""
+    seen = []
+    calibrate = ann._calibrate
+    monkeypatch.setattr(ann, "_calibrate", lambda filed, queries, tree, *more: seen.append((calibrate(filed, queries, tree, *more), tree.leaves)) or seen[-1][0])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r[0]: set(r[1]) for r in ann.search(df).groupBy("query_id").agg({"vec_id": "collect_set"}).collect()}
+    monkeypatch.setattr(ann, "_calibrate", calibrate)
+    x = x.astype(float)
+    asked = np.arange(0, len(x), 20)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert all(len(got[int(q)]) == 20 for q in asked)
+    return sum(len(got[int(q)] & set(b.tolist())) for q, b in zip(asked, best, strict=True)) / best.size, *seen[0]
+
+
+def test_leaves_grow_with_rows_and_visits_do_not(spark, monkeypatch):  # noqa: ANN001
+    small, large = (found(spark, clustered(n, n // 60), monkeypatch) for n in (1500, 12_000))
+    assert small[0] >= 0.93 and large[0] >= 0.93
+    assert large[2] > 4 * small[2] and large[1] / large[2] < 0.6 * small[1] / small[2]
+
+
+def test_large_leaves_get_trees_of_their_own(spark, monkeypatch):  # noqa: ANN001
+    x = clustered(6000, 100)
+    monkeypatch.setattr(ann, "FIT_ROWS", 400)
+    _, _, before = found(spark, x, monkeypatch)
+    monkeypatch.setattr(ann, "SPLIT_ROWS", 100)
+    monkeypatch.setattr(ann, "SUB_FIT", 300)
+    recall, visits, leaves = found(spark, x, monkeypatch)
+    assert recall >= 0.93 and leaves > 3 * before and visits < 0.5 * leaves
+
+
+def test_grafted_trees_file_every_row():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 6))
+    top = ann.fit(x[:200])
+    subs = {n: ann.fit(x[top.file(x) == n]) for n in range(0, top.leaves, 2)}
+    tree = top.graft(subs)
+    assert sorted(n for n in tree.leaf if n >= 0) == list(range(tree.leaves)) and tree.leaves == top.leaves - len(subs) + sum(s.leaves for s in subs.values())
+    assert len(tree.centres) == len(tree.kids) == len(tree.leaf) and sorted(k for ks in tree.kids for k in ks) == list(range(1, len(tree.kids)))
+    coarse = {}
+    for a, b in zip(tree.file(x).tolist(), top.file(x).tolist(), strict=True):
+        assert coarse.setdefault(a, b) == b
+    assert sorted(tree.visits(tree.scores(x[:1])[0], tree.leaves)) == list(range(tree.leaves))
+
+
+def test_visits_go_on_until_there_are_rows():
+    tree = ann.fit(np.random.default_rng(0).normal(size=(2000, 4)))
+    scores = tree.scores(np.array([[1.0, 0.5, -0.2, 0.1]]))[0]
+    counts = np.zeros(tree.leaves, dtype=int)
+    counts[tree.visits(scores, tree.leaves)[7]] = 50
+    assert len(tree.visits(scores, 2, counts, 21)) == 8 and len(tree.visits(scores, 2)) == 2 and len(tree.visits(scores, 2, counts, 1000)) == tree.leaves
+
+
+def test_products_are_of_visited_leaves_alone():
+    rng = np.random.default_rng(7)
+    q, v, leaf = rng.normal(size=(5, 3)), rng.normal(size=(40, 3)), np.sort(rng.integers(0, 6, 40))
+    leaves = [[0, 3], [], [5], [1, 2, 3], [9]]
+    got = ann.products(q, v, leaf, leaves)
+    want = np.where(np.array([[n in ns for n in leaf] for ns in leaves]), q @ v.T, -np.inf)
+    assert np.array_equal(np.isfinite(got), np.isfinite(want)) and np.allclose(got[np.isfinite(got)], want[np.isfinite(want)])
