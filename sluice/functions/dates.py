@@ -35,7 +35,7 @@ scalar("current_time", "curtime", "utc_time", least=0, most=0)(lambda: millis_of
 
 def millis_of_day(c: Column) -> Column:
     t = moment(c)
-    return (F.hour(t) * 3_600_000 + F.minute(t) * 60_000).cast("bigint") + F.floor(F.extract(F.lit("SECOND"), t) * 1000)
+    return (F.hour(t) * 3_600_000 + F.minute(t) * 60_000).cast("bigint") + F.floor(F.extract(F.lit("SECOND"), t) * 1000).cast("bigint")
 
 
 _UNITS = {"microsecond": "MICROSECOND", "second": "SECOND", "minute": "MINUTE", "hour": "HOUR", "day": "DAY", "week": "WEEK", "month": "MONTH", "quarter": "QUARTER", "year": "YEAR"}
@@ -88,19 +88,26 @@ def datediff(a: Arg, b: Arg) -> Column:
     return F.datediff(a.column.cast("date"), b.column.cast("date"))
 
 
+def clock(a: Arg) -> Column:
+    """A timestamp from one, or from text with or without a date."""
+    if isinstance(a.kind(), T.StringType):
+        return moment(F.when(a.column.contains("-"), a.column).otherwise(F.concat(F.lit("1970-01-01 "), a.column)))
+    return moment(a.column)
+
+
 @scalar("timediff")
 def timediff(a: Arg, b: Arg) -> Column:
-    return millis_of_day(a.column) - millis_of_day(b.column)
+    return millis_of_day(clock(a)) - millis_of_day(clock(b))
 
 
 @scalar("addtime")
 def addtime(t: Arg, d: Arg) -> Column:
-    return shifted(t.column, millis_of_day(d.column) / 1000, "second")
+    return shifted(clock(t), millis_of_day(clock(d)) / 1000, "second")
 
 
 @scalar("subtime")
 def subtime(t: Arg, d: Arg) -> Column:
-    return shifted(t.column, -millis_of_day(d.column) / 1000, "second")
+    return shifted(clock(t), -millis_of_day(clock(d)) / 1000, "second")
 
 
 _FORMAT = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%c": "M", "%d": "dd", "%e": "d", "%H": "HH", "%k": "H", "%h": "hh", "%I": "hh", "%l": "h", "%i": "mm", "%M": "MMMM", "%b": "MMM", "%s": "ss", "%S": "ss", "%f": "SSSSSS", "%p": "a", "%W": "EEEE", "%a": "EEE", "%j": "DDD", "%T": "HH:mm:ss", "%r": "hh:mm:ss a"}
@@ -121,12 +128,17 @@ def pattern(fmt: str) -> str:
 
 @scalar("date_format", "time_format", "strftime")
 def date_format(t: Arg, fmt: Arg) -> Column:
-    return F.date_format(moment(t.column), pattern(constant(fmt, "the format")))
+    return F.date_format(clock(t), pattern(constant(fmt, "the format")))
 
 
 @scalar("str_to_date")
 def str_to_date(text: Arg, fmt: Arg) -> Column:
-    return moment(F.to_timestamp(text.column, pattern(constant(fmt, "the format"))))
+    """Where codes do not touch, numbers may have one digit or two."""
+    code = constant(fmt, "the format")
+    form = pattern(code)
+    if not re.search(r"%\w%\w", code):
+        form = re.sub(r"(?<![A-Za-z])(dd|MM|HH|hh|mm|ss)(?![A-Za-z])", lambda m: m[0][0], form)
+    return moment(F.to_timestamp(text.column, form))
 
 
 @scalar("get_format")
@@ -182,10 +194,7 @@ def date(t: Arg) -> Column:
 @scalar("time", "time_of_day")
 def time(t: Arg) -> Column:
     """Milliseconds of the day, from a timestamp or from text with or without a date."""
-    if isinstance(t.kind(), T.StringType):
-        full = F.when(t.column.contains("-"), t.column).otherwise(F.concat(F.lit("1970-01-01 "), t.column))
-        return millis_of_day(full)
-    return millis_of_day(t.column)
+    return millis_of_day(clock(t))
 
 
 @scalar("time_to_sec")
@@ -224,3 +233,31 @@ def period_diff(a: Arg, b: Arg) -> Column:
 @scalar("convert_tz")
 def convert_tz(t: Arg, source: Arg, target: Arg) -> Column:
     return F.convert_timezone(source.column, target.column, moment(t.column))
+
+
+_RELATIVE = {"s": "second", "sec": "second", "m": "minute", "min": "minute", "h": "hour", "hr": "hour", "d": "day", "day": "day", "w": "week", "week": "week", "mon": "month", "month": "month", "q": "quarter", "y": "year", "year": "year"}
+
+
+def relative(text: str) -> Column:
+    """A time from text: absolute, ``now``, or steps from now such as ``-1d+2h@d``, where @ goes back to a unit's start."""
+    if re.match(r"\d{4}-", text):
+        return moment(F.lit(text))
+    steps = re.findall(r"([+-])(\d*)([a-z]+)|@([a-z]+)", text.lower().removeprefix("now").removeprefix("()"))
+    if "".join(f"{a}{n}{u}" if u else f"@{at}" for a, n, u, at in steps) != text.lower().removeprefix("now").removeprefix("()") or any((u or at) not in _RELATIVE for _, _, u, at in steps):
+        raise ValueError(f"no time: {text!r}")
+    out = F.localtimestamp()
+    for sign, n, unit, at in steps:
+        out = moment(F.date_trunc(_RELATIVE[at], out)) if at else shifted(out, F.lit(int(n or 1) * (-1 if sign == "-" else 1)), _RELATIVE[unit])
+    return out
+
+
+@scalar("earliest")
+def earliest(text: Arg, field: Arg) -> Column:
+    """As a condition: the field is at that time or later."""
+    return moment(field.column) >= relative(constant(text, "the time"))
+
+
+@scalar("latest")
+def latest(text: Arg, field: Arg) -> Column:
+    """As a condition: the field is at that time or earlier."""
+    return moment(field.column) <= relative(constant(text, "the time"))

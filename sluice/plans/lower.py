@@ -284,7 +284,7 @@ class Lowering:
     def aggregates(self, rows: Rows, named: tuple[S.Named, ...]) -> dict[str, Column]:
         out: dict[str, Column] = {}
         for a in named:
-            call = a.expr
+            call, condition = (a.expr.call, self.expr(rows, a.expr.condition)) if isinstance(a.expr, S.Filtered) else (a.expr, None)
             if isinstance(call, S.Name) and call.text.lower() in ("count", "c"):
                 call = S.Call("count")
             if not isinstance(call, S.Call):
@@ -294,7 +294,10 @@ class Lowering:
                 fn, args = "percentile_approx", [args[0], S.Literal(float(m[1]))]
             if fn in ("earliest", "latest") and len(args) == 1:
                 args.append(S.Name("@timestamp"))
-            out[a.name] = aggregate(fn, [self.arg(rows, x) for x in args], call.distinct)
+            found = [self.arg(rows, x) for x in args]
+            if condition is not None:  # every aggregate leaves nulls out
+                found = [replace(x, column=F.when(condition, x.column)) for x in found] or [Arg(F.when(condition, F.lit(1)))]
+            out[a.name] = aggregate(fn, found, call.distinct)
         return out
 
     def stats(self, rows: Rows, c: S.Stats) -> Rows:
@@ -313,6 +316,12 @@ class Lowering:
                 for k in keys.values():
                     df = df.where(k.isNotNull())
             made = [a.alias(n) for n, a in aggregates.items()]
+            if c.sets is not None:
+                names = {k.name: rows.resolve(k.name) for k in c.keys}
+                grouped = ops.grouping_sets(df, [[names[k] for k in some] for some in c.sets], made)
+                named = [ref(o).alias(n) for n, o in names.items()]
+                out = grouped.select(*[ref(n) for n in aggregates], *named)
+                return Rows(out, {q: n for q, n in rows.qualified.items() if n in keys}, {n: rows.kinds.get(n, "keyword") for n in out.columns})
             grouped = (df.cube if c.grouping == "cube" else df.rollup if c.grouping == "rollup" else df.groupBy)(*named).agg(*made)
             out = grouped.select(*[ref(n) for n in aggregates], *[ref(n) for n in keys])
         kinds = {n: rows.kinds.get(n, "keyword") for n in out.columns}

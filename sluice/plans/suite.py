@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import joins, ops
@@ -161,6 +161,35 @@ PIPES: dict[str, tuple[str, str]] = {
     "set_intersect": ("source=customer | where c_acctbal > 9000 | fields c_nationkey | rename c_nationkey as k | intersect [ source=supplier | where s_acctbal > 5000 | fields s_nationkey | rename s_nationkey as k ]", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000"),
     "set_except": ("source=nation | fields n_nationkey | rename n_nationkey as k | except [ source=supplier | where s_acctbal > 7000 | fields s_nationkey | rename s_nationkey as k ]", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000"),
     "expand_array": ("source=embeddings | fields vec_id, embedding | expand embedding as x | stats count() as n, sum(x) as s by vec_id | eval s = round(s, 4)", "SELECT count(*) AS n, round(sum(x::DOUBLE), 4) AS s, vec_id FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY 3"),
+    "stats_filter": (
+        "source=orders | stats count() filter(where o_totalprice > 100000) as big, sum(o_totalprice) filter(where o_custkey % 2 = 0) as even, dc(o_custkey) filter(where o_orderpriority = '1-URGENT') as urgent, count(1) filter(where o_orderkey < 0) as none by o_orderstatus | eval even = round(even, 0)",
+        "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 100000) AS big, round(sum(o_totalprice) FILTER (WHERE o_custkey % 2 = 0), 0) AS even, count(DISTINCT o_custkey) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, 0 AS none FROM orders GROUP BY 1",
+    ),
+    "stats_grouping_sets": ("source=orders | stats count() as n, max(o_totalprice) as top by grouping sets((o_orderstatus, o_orderpriority), (o_orderpriority), ())", "SELECT count(*) AS n, max(o_totalprice) AS top, o_orderstatus, o_orderpriority FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())"),
+    "stats_lists": ("source=nation | stats list(n_name) as l, take(n_name, 2) as t, first(n_name) as f, last(n_name) as z, percentile_approx(n_regionkey, 50) as p by n_nationkey | eval l = mvjoin(l, ';'), t = mvjoin(t, ';')", "SELECT n_name AS l, n_name AS t, n_name AS f, n_name AS z, n_regionkey AS p, n_nationkey FROM nation"),
+    "where_times": ("source=events | where earliest('2024-01-05 00:00:00', ts) and latest('now', ts) | stats count() as n, min(ts) as lo", "SELECT count(*) AS n, min(ts) AS lo FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= now()::TIMESTAMP"),
+    "where_escaped_quotes": (r'source=orders o_orderpriority=\"1-URGENT\" | stats count() as n', "SELECT count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT'"),
+    "window_ends": (
+        "source=orders | eval z = last_value(o_orderkey) over (partition by o_custkey order by o_orderkey rows between current row and 1 following), s = nth_value(o_orderkey, 2) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and unbounded following) | fields o_orderkey, z, s",
+        "SELECT o_orderkey, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS z, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s FROM orders",
+    ),
+    "math_names": (
+        "source=part | eval a = add(p_size, 1), b = subtract(p_size, 7), c = multiply(p_size, 3), d = divide(p_size, 4), e = mod(p_size, 5), f = power(p_size, 2), g = crc32('abc'), h = conv(cast(p_size as string), 10, 2), i = rand(3) >= 0 | fields p_partkey, a, b, c, d, e, f, g, h, i",
+        "SELECT p_partkey, p_size + 1 AS a, p_size - 7 AS b, p_size * 3 AS c, p_size // 4 AS d, p_size % 5 AS e, p_size::DOUBLE ** 2 AS f, 891568578 AS g, bin(p_size) AS h, true AS i FROM part",
+    ),
+    "string_names": (
+        "source=customer | eval a = substr(c_name, 2, 3), b = char_length(c_name), c = locate('u', c_name), d = ltrim(concat('  ', c_mktsegment, ' ')), e = rtrim(concat('  ', c_mktsegment, ' ')), f = regexp_match(c_mktsegment, '^A'), g = contains(c_mktsegment, 'build'), h = isblank(concat(' ', '')), i = isempty(nullif(c_mktsegment, 'BUILDING')), j = isnotnull(nullif(c_mktsegment, 'BUILDING')), k = typeof(c_name), l = typeof(c_custkey) | fields c_custkey, a, b, c, d, e, f, g, h, i, j, k, l",
+        "SELECT c_custkey, substr(c_name, 2, 3) AS a, length(c_name)::INT AS b, instr(c_name, 'u')::INT AS c, c_mktsegment || ' ' AS d, '  ' || c_mktsegment AS e, c_mktsegment LIKE 'A%' AS f, contains(lower(c_mktsegment), 'build') AS g, true AS h, c_mktsegment = 'BUILDING' AS i, c_mktsegment <> 'BUILDING' AS j, 'STRING' AS k, 'BIGINT' AS l FROM customer",
+    ),
+    "date_names": (
+        "source=orders | eval a = adddate(date(o_orderdate), 3), b = subdate(date(o_orderdate), 1), c = addtime(o_orderdate, '01:30:00'), d = subtime(o_orderdate, '00:00:10'), e = timediff('10:00:00', '08:30:00'), f = convert_tz(o_orderdate, '+00:00', '+05:30'), g = from_days(to_days(date(o_orderdate))), h = to_seconds(o_orderdate), i = str_to_date('1,5,2013', '%d,%m,%Y'), j = time_format('10:05:30', '%H-%i'), k = get_format(date, 'USA') | fields o_orderkey, a, b, c, d, e, f, g, h, i, j, k",
+        "SELECT o_orderkey, (o_orderdate::DATE + 3)::DATE AS a, (o_orderdate::DATE - 1)::DATE AS b, o_orderdate + INTERVAL '90 minutes' AS c, o_orderdate - INTERVAL '10 seconds' AS d, 5400000::BIGINT AS e, o_orderdate + INTERVAL '330 minutes' AS f, o_orderdate::DATE AS g, date_diff('day', DATE '0000-01-01', o_orderdate::DATE) * 86400 + (epoch(o_orderdate) % 86400)::BIGINT AS h, TIMESTAMP '2013-05-01' AS i, '10-05' AS j, '%m.%d.%Y' AS k FROM orders",
+    ),
+    "json_names": ("source=region | eval a = json('{\"k\":1}'), b = json_array(r_regionkey, 2), c = json_extend('{\"a\":[1]}', 'a', array(2, 3)), d = mvjoin(mvappend(r_name, 'x'), '+') | fields r_regionkey, a, b, c, d", """SELECT r_regionkey, '{"k":1}' AS a, '[' || r_regionkey || ',2]' AS b, '{"a":[1,2,3]}' AS c, r_name || '+x' AS d FROM region"""),
+    "top_per_group": (
+        "source=orders | eval r = row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) | where r <= 3 | fields o_custkey, o_orderkey, r",
+        "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders QUALIFY r <= 3",
+    ),
     # shapes of web analytics
     "hits_per_host": ("source=pages | eval host = regexp_extract(url, '^https?://([^/]+)', 1) | stats count() as n, avg(length(html)) as bytes by host | where n > 1 | sort - n, host | head 20 | eval bytes = round(bytes, 2)", "SELECT count(*) AS n, round(avg(length(html)), 2) AS bytes, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages GROUP BY 3 HAVING count(*) > 1 ORDER BY 1 DESC, 3 LIMIT 20"),
     "flagship": ("source=lineitem | where l_shipdate >= '1997-01-01 00:00:00' and l_quantity < 24 | stats count() as n, avg(l_extendedprice) as ap, sum(l_quantity) as sq by l_returnflag | sort - n | head 10 | eval ap = round(ap, 2)", "SELECT count(*) AS n, round(avg(l_extendedprice), 2) AS ap, sum(l_quantity) AS sq, l_returnflag FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_quantity < 24 GROUP BY 4 ORDER BY 1 DESC LIMIT 10"),
@@ -180,17 +209,6 @@ def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.grouping_sets(orders, [("o_orderstatus", "o_orderpriority"), ("o_orderpriority",), ()], [F.count("*").alias("n")])
 
 
-def aggregate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = catalog(spark, sf_dir).load("orders")
-    return orders.groupBy("o_orderstatus").agg(F.count_if(F.col("o_totalprice") > 100000).alias("big"), F.expr("sum(o_totalprice) FILTER (WHERE o_custkey % 2 = 0)").alias("even")).withColumn("even", F.round("even", 0))
-
-
-def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = catalog(spark, sf_dir).load("orders")
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return orders.withColumn("r", F.row_number().over(w)).where("r <= 3").select("o_custkey", "o_orderkey", F.col("r").cast("bigint").alias("r"))
-
-
 def struct_renest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.sources.catalog import flatten, renest
 
@@ -206,8 +224,6 @@ def join_semi_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "grouping_sets": (grouping_sets, "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())"),
-    "aggregate_filter": (aggregate_filter, "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 100000) AS big, round(sum(o_totalprice) FILTER (WHERE o_custkey % 2 = 0), 0) AS even FROM orders GROUP BY 1"),
-    "top_per_group": (top_per_group, "SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3"),
     "struct_renest": (struct_renest, "SELECT n_nationkey AS k, n_name AS name, n_regionkey FROM nation"),
     "join_semi_filtered": (join_semi_filtered, "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7) GROUP BY 1"),
 }

@@ -60,6 +60,14 @@ class Over:
     frame: Frame | None = None
 
 
+@dataclass(frozen=True)
+class Filtered:
+    """An aggregate over the rows that meet a condition."""
+
+    call: Any
+    condition: Any
+
+
 @dataclass(frozen=True)
 class Case:
     branches: tuple[tuple[Any, Any], ...]
@@ -113,6 +121,7 @@ class Stats:
     bucket_nullable: bool = True
     window: bool = False  # eventstats
     grouping: str | None = None  # cube, rollup
+    sets: tuple[tuple[str, ...], ...] | None = None  # names of keys, for grouping sets
 
 
 @dataclass(frozen=True)
