@@ -154,10 +154,26 @@ def typeof(a: Arg) -> Column:
     return F.upper(F.typeof(a.column))
 
 
+def _in_block6(ip: Column, net: str, bits: int) -> Column:
+    import ipaddress
+
+    head = format(int(ipaddress.IPv6Address(net)), "0128b")[:bits]
+    # Groups on both sides of the gap, if there is one, which stands for the zero groups that are missing.
+    groups = lambda c: F.filter(F.split(c, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(ip, "::", 1)), groups(F.when(ip.contains("::"), F.substring_index(ip, "::", -1)).otherwise(""))
+    missing = F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))
+    whole = F.concat(left, F.array_repeat(F.lit("0"), missing), right)
+    text = F.array_join(F.transform(whole, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    valid = ip.rlike(r"^[0-9A-Fa-f]{0,4}(:[0-9A-Fa-f]{0,4}){2,7}$") & ~ip.rlike(":::|::.*::") & (ip.contains("::") & (missing > 0) | (~ip.contains("::") & (F.size(left) == 8)))
+    return F.when(valid, text.startswith(head))
+
+
 @scalar("cidrmatch")
 def cidrmatch(ip: Arg, block: Arg) -> Column:
-    """Whether an IPv4 address is in a block, by whole-number arithmetic; null for what is no address."""
+    """Whether an address is in a block, by whole-number arithmetic (version 4) or leading bits (version 6); null for what is no address of the block's version."""
     net, bits = constant(block, "the block").split("/")
+    if ":" in net:
+        return _in_block6(ip.column, net, int(bits))
 
     def number(text: Column) -> Column:
         parts = F.split(text, r"\.")

@@ -27,6 +27,11 @@ class Profile:
     def find(self, prefix: str) -> list[Profile]:
         return [p for p in [self] if self.name.startswith(prefix)] + [x for c in self.children for x in c.find(prefix)]
 
+    def rows(self, depth: int = 1) -> list[tuple[int, str, str, int]]:
+        """(depth, node, counter, value) of this node and those below it."""
+        own = [(depth, self.name, k, v) for k, v in sorted(self.metrics.items())] or [(depth, self.name, "", 0)]
+        return own + [r for c in self.children for r in c.rows(depth + 1)]
+
 
 def _walk(node) -> Profile:  # noqa: ANN001
     if "AdaptiveSparkPlanExec" in node.getClass().getSimpleName():

@@ -18,6 +18,7 @@ from sluice.functions.aggregates import AGGREGATES, aggregate, windowed
 from sluice.functions.registry import Arg
 from sluice.operators import joins, ops
 from sluice.plans import syntax as S
+from sluice.plans.explain import plan_text, profile
 from sluice.plans.parser import parse
 from sluice.sources.catalog import Catalog, ref
 
@@ -415,12 +416,20 @@ def _groups(pattern: str) -> dict[str, int]:
     return out
 
 
-def run(catalog: Catalog, text: str) -> DataFrame:
-    """The DataFrame of a query; of ``explain`` a single row with its plan."""
+def run(catalog: Catalog, text: str, max_rows: int | None = None) -> DataFrame:
+    """The DataFrame of a query, with ``max_rows`` rows at most if a limit is set.
+
+    Of ``explain`` a single row with its plan; of ``profile``, which runs it, a row
+    for each counter of each node of the executed plan, in the plan's order.
+    """
     q = parse(text)
     df = Lowering(catalog).query(q).df
+    if max_rows is not None:
+        df = df.limit(max_rows)
     if q.explain:
-        from sluice.plans.explain import plan_text
-
         return catalog.spark.createDataFrame([(plan_text(df),)], "plan string")
+    if q.profile:
+        node, seconds = profile(df)
+        rows = [(0, 0, "query", "milliseconds", int(seconds * 1000)), *((n, *r) for n, r in enumerate(node.rows(), 1))]
+        return catalog.spark.createDataFrame(rows, "position int, depth int, node string, metric string, value bigint")
     return df

@@ -183,4 +183,5 @@ class Expand:
 class Query:
     commands: tuple[Any, ...]
     explain: bool = False
+    profile: bool = False
     notes: dict[str, str] = field(default_factory=dict, compare=False, hash=False)

@@ -80,3 +80,26 @@ def test_profile_counts(spark, sf):  # noqa: ANN001
     df = run(suite.catalog(spark, sf), "source=orders | where o_orderstatus = 'F' | stats count() by o_orderpriority")
     node, seconds = profile(df)
     assert seconds > 0 and node.total("numFiles") >= 1 and node.find("Scan")
+
+
+def test_profile_and_limit_of_a_query(spark, sf):  # noqa: ANN001
+    cat = suite.catalog(spark, sf)
+    got = run(cat, "profile source=orders | where o_orderstatus = 'F' | stats count() by o_orderpriority").collect()
+    assert got[0]["metric"] == "milliseconds" and [r["position"] for r in got] == list(range(len(got)))
+    assert any(r["node"].startswith("Scan") and r["metric"] == "numOutputRows" and r["value"] > 0 for r in got)
+    assert run(cat, "source=orders", max_rows=7).count() == 7 and run(cat, "source=nation", max_rows=700).count() == 25
+
+
+def test_runtime_filter_fires(spark, sf):  # noqa: ANN001
+    """A selective small side filters the scan of the large one before the shuffle."""
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    query = "source=lineitem | inner join left=l right=p ON l.l_partkey = p.p_partkey [ source=part | where p_size = 7 ] | stats count() as n"
+    want = run(suite.catalog(spark, sf), query).collect()
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        df = run(suite.catalog(spark, sf), query)
+        assert "might_contain" in plan_text(df) and df.collect() == want
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
