@@ -30,7 +30,7 @@ SLOTS = 128
 #: Standard errors by which signatures must miss the wanted similarity before two texts are not compared.
 ERRORS = 5.5
 #: Texts of a chunk of those that share a part; shingles of a chunk of a cluster. A tile holds two chunks.
-CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+CHUNK, CHUNK_SHINGLES = 512, 1 << 17
 #: Up to so many names of texts to compare are broadcast; they are counted first.
 BROADCAST_TEXTS = 500_000
 
