@@ -155,23 +155,32 @@ class Net:
             grads[3] += d.sum(0)
             ds = d @ wc.T
         order = np.argsort(cls.astype(np.uint8), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            i = order[cuts[c] : cuts[c + 1]]
-            if not len(i):
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        # Sorted by class, the rows of each are one slice.
+        order = order[: cuts[-1]]
+        ss, ys, lps = s[order], y[order], np.empty(len(order))
+        dss = None if ds is None else np.empty_like(ss)
+        each = np.arange(len(order))
+        for c, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if lo == hi:
                 continue
-            sc = s[i]
-            x = sc @ wo[c] + bo[c]
+            sc = ss[lo:hi]
+            x = sc @ wo[c]
+            x += bo[c]
+            k, r = ys[lo:hi] - c * CLASS_SIZE, each[: hi - lo]
+            own = x[r, k]
             e, sums = _softmax(x)
-            k, r = y[i] - c * CLASS_SIZE, np.arange(len(i))
-            out[i] += x[r, k] - np.log(sums)
+            lps[lo:hi] = own - np.log(sums)
             if grads is not None:
                 d = e
                 d /= sums[:, None]
                 d[r, k] -= 1
                 grads[4][c] += sc.T @ d
                 grads[5][c] += d.sum(0)
-                ds[i] += d @ wo[c].T
+                dss[lo:hi] = d @ wo[c].T
+        out[order] += lps
+        if ds is not None:
+            ds[order] += dss
         return out, ds
 
     def back(self, x: np.ndarray, trace: list, ds: np.ndarray, grads: list[np.ndarray]) -> None:
