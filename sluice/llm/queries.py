@@ -98,6 +98,23 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM m WHERE best = 1
 """
 
+#: All strings of 50 bytes, as hexadecimal digits, with the least document of each; what they cover goes.
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (SELECT r, doc_id, k, substr(x, 2 * k + 1, 100) AS s FROM (SELECT r, doc_id, x, unnest(range(length(x) // 2 - 49)) AS k FROM d WHERE doc_id IS NOT NULL)
+), f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+), h AS (SELECT r, k FROM w JOIN f USING (s) WHERE least < doc_id
+), g AS (SELECT r, k, CASE WHEN k <= lag(k) OVER (PARTITION BY r ORDER BY k) + 50 THEN 0 ELSE 1 END AS fresh FROM h
+), n AS (SELECT r, k, sum(fresh) OVER (PARTITION BY r ORDER BY k) AS run FROM g
+), u AS (SELECT r, run, min(k) AS a, max(k) + 50 AS z FROM n GROUP BY r, run
+), v AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM u
+), p AS (
+  SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM v JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN p USING (r)
+"""
 #: Lines as tokens, those with a digit as fields; a position of a leaf's line is a field too if ten lines are equal but for it.
 OP5_SQL = r"""
 WITH own AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents
@@ -150,4 +167,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_ann": op10_ann,
 }
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_url_filter": OP9_SQL}

@@ -29,6 +29,10 @@ LEFT = LENGTH - GRAM
 CHUNK = 1 << 22
 #: The filter of anchors that more than one document holds: a bit map of this many bits, whatever the input. A full map filters nothing and results stay the same.
 MAP_BITS = 28
+#: Bytes of text for each shard and for each task that judges shards, where the session has fewer shuffle partitions.
+SHARD_BYTES, TASK_BYTES = 1 << 24, 1 << 25
+#: An anchor is hot if it counts (twice a buffer at most) as often as half the buffers, and HOT times at least; its occurrences are dealt to SALTS shards or more.
+HOT, SALTS = 64, 8
 _EVEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,8 +138,11 @@ def _pieces(rows: Iterable[pa.RecordBatch], id_at: int, text_at: int, sig_at: in
         yield out()
 
 
-def _shared_map(docs: DataFrame, bits: int, tasks: int) -> bytes:
-    """Bit map of the hashes of anchors that at least two documents hold."""
+def _shared_map(docs: DataFrame, bits: int, tasks: int, hot: int) -> tuple[bytes, np.ndarray]:
+    """Bit map of the hashes of anchors that at least two documents hold, and the leading 32 + ``bits`` bits of those that count ``hot`` times.
+
+    The latter are as many as the text's anchors over ``hot`` at most, which grows with the text.
+    """
     shift = np.uint64(64 - bits)
 
     def emit(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +165,10 @@ def _shared_map(docs: DataFrame, bits: int, tasks: int) -> bytes:
         def out(k: int, raw: list[bytes]) -> pa.RecordBatch:
             v = np.sort(np.frombuffer(b"".join(raw), dtype="<u4"))
             twice = v[1:][v[1:] == v[:-1]]
+            often = np.unique(v[hot - 1 :][v[hot - 1 :] == v[: max(0, len(v) - hot + 1)]])
             seg = np.zeros(1 << (MAP_BITS - bits), dtype=np.uint8)
             seg[twice >> np.uint32(32 - (MAP_BITS - bits))] = 1
-            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(seg, bitorder="little").tobytes()], pa.binary())], names=["part", "seg"])
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(seg, bitorder="little").tobytes()], pa.binary()), pa.array([often.tobytes()], pa.binary())], names=["part", "seg", "hot"])
 
         at, raw = None, []
         for b in rows:
@@ -175,10 +183,12 @@ def _shared_map(docs: DataFrame, bits: int, tasks: int) -> bytes:
 
     size = 1 << (MAP_BITS - bits - 3)
     whole = bytearray(1 << (MAP_BITS - 3))
-    found = docs.mapInArrow(emit, "part int, h binary").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(gather, "part int, seg binary")
+    found = docs.mapInArrow(emit, "part int, h binary").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(gather, "part int, seg binary, hot binary")
+    often = [np.zeros(0, dtype=np.uint64)]
     for r in found.collect():
         whole[r["part"] * size : (r["part"] + 1) * size] = r["seg"]
-    return bytes(whole)
+        often.append(np.frombuffer(r["hot"], dtype="<u4").astype(np.uint64) | np.uint64(r["part"] << 32))
+    return bytes(whole), np.sort(np.concatenate(often))
 
 
 _U8 = np.arange(-LEFT, LENGTH)
@@ -235,14 +245,16 @@ def spans(docs: DataFrame) -> DataFrame:
     little-endian 64-bit numbers.
     """
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # follows the cluster and the input
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
     bits = min(16, max(8, (4 * tasks - 1).bit_length()))
-    shards = max(64, tasks)
-    sent = spark.sparkContext.broadcast(_shared_map(docs, bits, tasks))
+    shards = max(64, tasks, size // SHARD_BYTES)
+    salts = max(SALTS, min(256, size // CHUNK // 4096))
+    sent = spark.sparkContext.broadcast(_shared_map(docs, bits, tasks, max(HOT, size // CHUNK // 2)))
     drop = np.uint64(64 - MAP_BITS)
 
     def emit(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(sent.value, dtype=np.uint8)
+        held, often = np.frombuffer(sent.value[0], dtype=np.uint8), sent.value[1]
         for buf, piece, ids, sigs, offs, starts in _pieces(rows, 0, 1, 2):
             p, first, last, h = anchors(buf, piece)
             i = h >> drop
@@ -257,12 +269,21 @@ def spans(docs: DataFrame) -> DataFrame:
             _, one, which = np.unique(mark, return_index=True, return_inverse=True)  # equal contexts go once
             least = np.full(len(one), np.iinfo(np.int64).max)
             np.minimum.at(least, which, doc)
-            shard_one = (h[one] % np.uint64(shards)).astype(np.int32)
+            # An entry for each context; for one of a hot anchor an entry in each of several shards, to which its members are dealt.
+            top = h[one] >> np.uint64(32 - bits)
+            hot = often[np.searchsorted(often, top).clip(max=len(often) - 1)] == top if len(often) else np.zeros(len(one), dtype=bool)
+            times = np.where(hot, salts, 1)
+            base = np.cumsum(times) - times
+            entry = np.repeat(np.arange(len(one)), times)
+            salt = np.arange(len(entry)) - base[entry]
+            dealt = np.where(hot[which], (_mix(doc.astype(np.uint64) * _EVEN + p.astype(np.uint64)) % np.uint64(salts)).astype(np.int64), 0)
+            one, least = one[entry], least[entry]
+            shard_one = ((h[one] + salt.astype(np.uint64) * _EVEN) % np.uint64(shards)).astype(np.int32)
             order_one = np.argsort(shard_one, kind="stable")
             place = np.empty(len(one), dtype=np.int64)
             place[order_one] = np.arange(len(one))
             cuts = np.searchsorted(shard_one[order_one], np.arange(shards + 1))
-            home = place[which]
+            home = place[base[which] + dealt]
             order = np.argsort(home, kind="stable")  # members in the order of their contexts
             of = piece[p][order]
             doc, sig = doc[order], sigs[of].astype("<i4")

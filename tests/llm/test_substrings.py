@@ -56,6 +56,22 @@ def test_periodic_texts_and_chunk_borders(spark, monkeypatch):  # noqa: ANN001
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_hot_anchors_are_dealt_to_several_shards(spark, docs, rows, monkeypatch):  # noqa: ANN001
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=300))
+    made = [(i, "".join(rng.choices("ijklmnop ", k=rng.randint(0, 90))) + passage[: rng.choice((40, 120, 300))] + passage[rng.choice((0, 60, 250)) :] * rng.randint(0, 1) + str(i)) for i in range(400)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(12)
+    seen = []
+    shared = S._shared_map
+    monkeypatch.setattr(S, "_shared_map", lambda *a: seen.append(shared(*a)) or seen[-1])
+    assert result(df) == brute(made) and not len(seen[0][1])
+    for hot, salts in ((4, 8), (2, 3)):
+        monkeypatch.setattr(S, "HOT", hot)
+        monkeypatch.setattr(S, "SALTS", salts)
+        assert result(df) == brute(made) and len(seen[-1][1]) > 10
+    assert result(docs) == brute(rows)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10**6), st.integers(2, 4))
 def test_equal_windows_have_equal_anchors(seed, letters):  # noqa: ANN001
