@@ -31,8 +31,8 @@ CHUNK = 1 << 22
 MAP_BITS = 28
 #: Bytes of text for each shard and for each task that judges shards, where the session has fewer shuffle partitions.
 SHARD_BYTES, TASK_BYTES = 1 << 24, 1 << 25
-#: An anchor is hot if it counts (twice a buffer at most) as often as half the buffers, and HOT times at least; its occurrences are dealt to SALTS shards or more.
-HOT, SALTS = 64, 8
+#: An anchor counts twice in a buffer, or four times if DENSE documents of it hold the anchor. It is hot if it counts three times a buffer, and HOT times at least; its occurrences are dealt to SALTS shards or more.
+DENSE, HOT, SALTS = 64, 64, 4
 _EVEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,8 +153,10 @@ def _shared_map(docs: DataFrame, bits: int, tasks: int, hot: int) -> tuple[bytes
             order = np.lexsort((ids[piece[p]], h))
             h, d = h[order], ids[piece[p]][order]
             fresh = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
-            h = h[fresh]  # once a document; and of those at most two
-            h = h[np.r_[np.ones(min(2, len(h)), dtype=bool), h[2:] != h[:-2]]]
+            h = h[fresh]  # once a document; and of those at most two, or four
+            new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            many = np.diff(np.r_[new, len(h)])
+            h = h[np.arange(len(h)) - np.repeat(new, many) < np.repeat(np.where(many >= DENSE, 4, 2), many)]
             value = (h << np.uint64(bits) >> np.uint64(32)).astype("<u4")
             part = (h >> shift).astype(np.int64)
             cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
@@ -250,7 +252,7 @@ def spans(docs: DataFrame) -> DataFrame:
     bits = min(16, max(8, (4 * tasks - 1).bit_length()))
     shards = max(64, tasks, size // SHARD_BYTES)
     salts = max(SALTS, min(256, size // CHUNK // 4096))
-    sent = spark.sparkContext.broadcast(_shared_map(docs, bits, tasks, max(HOT, size // CHUNK // 2)))
+    sent = spark.sparkContext.broadcast(_shared_map(docs, bits, tasks, max(HOT, 3 * size // CHUNK)))
     drop = np.uint64(64 - MAP_BITS)
 
     def emit(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

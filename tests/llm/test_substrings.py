@@ -65,7 +65,8 @@ def test_hot_anchors_are_dealt_to_several_shards(spark, docs, rows, monkeypatch)
     shared = S._shared_map
     monkeypatch.setattr(S, "_shared_map", lambda *a: seen.append(shared(*a)) or seen[-1])
     assert result(df) == brute(made) and not len(seen[0][1])
-    for hot, salts in ((4, 8), (2, 3)):
+    for hot, salts, dense in ((4, 8, 64), (30, 3, 5)):
+        monkeypatch.setattr(S, "DENSE", dense)
         monkeypatch.setattr(S, "HOT", hot)
         monkeypatch.setattr(S, "SALTS", salts)
         assert result(df) == brute(made) and len(seen[-1][1]) > 10
