@@ -15,12 +15,12 @@ their counts by a join.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +42,13 @@ WARM_DOCS, WARM_PASSES, WARM_RATE, RATE = 1_000, 3, 8e-3, 1.5e-3
 ROUNDS, SHARD_TOKENS, LARGE_SHARD_TOKENS, FEW_SHARDS = 2, 1 << 20, 1 << 26, 2048
 #: A shard is read in blocks of so many texts, or fewer of so many tokens together.
 BLOCK_TEXTS, BLOCK_TOKENS = 4096, 1 << 22
-FLUSH_WORDS = 200_000
+#: Rows whose scores of all classes are worked out together, so that they stay in a core's cache.
+ROWS = 2048
+#: Texts are cut into words together up to so many bytes, or one by one.
+SPLIT_BYTES = 4 << 20
 SLICES = 8
 LOG10 = float(np.log(10.0))
+_WORD_END = np.array([bytes([i]).isalnum() or i > 127 for i in range(256)])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -54,6 +58,21 @@ def words(text: str | None) -> list[bytes]:
     return w
 
 
+def split(texts: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
+    """Some texts at a time (from, to): their words one after another, as of ``words``, and how many each text has with its end; the ends themselves are left out."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), SPLIT_BYTES, side="right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(lo, hi - lo), "")))
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        found = lists.flatten().cast(pa.binary())
+        real = pc.greater(pc.binary_length(found), 0)  # white space at either side of a text gives empty words
+        ends = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][ends - ends[0]]
+        yield lo, hi, found.filter(real), np.diff(ends) + 1
+        lo = hi
+
+
 def shape(word: bytes) -> int:
     """One of SHAPES classes: by length, by whether it is ASCII, by whether it ends in a letter or digit."""
     n = len(word)
@@ -61,6 +80,17 @@ def shape(word: bytes) -> int:
     return size * 4 + 2 * word.isascii() + (word[-1:].isalnum() or word[-1] > 127)
 
 
+def shapes(words: pa.Array) -> np.ndarray:
+    """``shape`` of each of an array of words."""
+    if not len(words):
+        return np.zeros(0, dtype=np.int64)
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    letters = np.frombuffer(data, dtype=np.uint8)[: at[-1]]
+    ascii_only = np.add.reduceat(letters > 127, at[:-1], dtype=np.int64) == 0
+    return np.searchsorted([5, 8, 12], np.diff(at)) * 4 + 2 * ascii_only + _WORD_END[letters[at[1:] - 1]]
+
+
 @dataclass
 class Weights:
     """inputs: a row for each frequent word, shape and the start; the rest as named in ``Net``."""
@@ -97,11 +127,25 @@ class Weights:
         return cls(w)
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of the rows of ``x`` and their sums. Scores stay far below the bound, which only keeps floats finite."""
-    np.minimum(x, 80, out=x)
-    e = np.exp(x)
-    return e, e @ np.ones(x.shape[1], dtype=x.dtype)
+def _softmax(s: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray, grads: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural log probabilities of the targets ``y`` by the scores ``s @ w + b``; adds the gradients of their negative sum for ``w`` and ``b``, if asked, and returns those for ``s``."""
+    x = s @ w
+    x += b
+    rows = np.arange(len(y))
+    own = x[rows, y]
+    # Scores stay far below the bound, which only keeps floats finite.
+    if x.size and np.abs(w).sum(0).max() * max(s.max(), -s.min()) + np.abs(b).max() > 80:
+        np.minimum(x, 80, out=x)
+    d = np.exp(x, out=x)
+    sums = d @ np.ones(d.shape[1], dtype=d.dtype)
+    lp = own - np.log(sums)
+    if grads is None:
+        return lp, None
+    d /= sums[:, None]
+    d[rows, y] -= 1
+    grads[0][...] += s.T @ d
+    grads[1][...] += np.ones(len(d), dtype=d.dtype) @ d
+    return lp, d @ w.T
 
 
 class Net:
@@ -115,69 +159,62 @@ class Net:
         self.t = 0
 
     def steps(self, x: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States after each of the inputs ``x`` (steps, lanes), from ``h``; what the way back needs."""
+        """States after each of the inputs ``x`` (steps, lanes), from ``h``; what the way back needs.
+
+        The gates' parts lie apart, so that all work is on whole arrays. A
+        sigmoid is half a tanh of half its input.
+        """
         inputs, u = self.w[0], self.w[1]
         n = HIDDEN
-        uzr, un = np.ascontiguousarray(u[:, : 2 * n]), np.ascontiguousarray(u[:, 2 * n :])
-        out = np.empty((len(x), len(h), n), dtype=np.float32)
+        parts, us = (np.ascontiguousarray(w.reshape(-1, 3, n).transpose(1, 0, 2)) for w in (inputs, u))
+        parts[:2] *= 0.5
+        us[:2] *= 0.5
+        out = np.empty((len(x) + 1, len(h), n), dtype=np.result_type(h, u))
+        out[0] = h
         trace = []
+        new, part, gates = np.empty_like(out[0]), np.empty_like(out[0]), np.empty((2, len(h), n), dtype=out.dtype)
         for t, ids in enumerate(x):
-            g = inputs[ids]
-            zr = g[:, : 2 * n] + h @ uzr
-            zr *= 0.5
+            h = out[t]
+            g = parts.take(ids, axis=1)
+            zr = g[:2]
+            zr += np.matmul(h, us[:2], out=gates)
             np.tanh(zr, out=zr)
-            zr += 1
             zr *= 0.5
-            z, r = zr[:, :n], zr[:, n:]
+            zr += 0.5
+            z, r, c = g
             rh = r * h
-            c = np.tanh(g[:, 2 * n :] + rh @ un)
-            new = c + z * (h - c)
+            c += np.matmul(rh, us[2], out=part)
+            np.tanh(c, out=c)
+            np.subtract(h, c, out=new)
+            new *= z
+            np.add(new, c, out=out[t + 1])
             if keep:
                 trace.append((h, z, r, rh, c))
-            out[t] = h = new
-        return out, trace
+        return out[1:], trace
 
     def loss(self, s: np.ndarray, y: np.ndarray, grads: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of targets ``y`` from states ``s``; gradients of their negative sum, if asked."""
         _, _, wc, bc, wo, bo = self.w
         frequent = self.classes * CLASS_SIZE
         cls = np.where(y < frequent, y // CLASS_SIZE, y - frequent + self.classes)
-        x = s @ wc + bc
-        e, sums = _softmax(x)
-        rows = np.arange(len(y))
-        out = (x[rows, cls] - np.log(sums)).astype(np.float64)
-        ds = None
-        if grads is not None:
-            d = e
-            d /= sums[:, None]
-            d[rows, cls] -= 1
-            grads[2] += s.T @ d
-            grads[3] += d.sum(0)
-            ds = d @ wc.T
+        out, ds = np.empty(len(y)), None if grads is None else np.empty_like(s)
+        for lo in range(0, len(y), ROWS):
+            at = slice(lo, lo + ROWS)
+            out[at], some = _softmax(s[at], wc, bc, cls[at], grads and (grads[2], grads[3]))
+            if ds is not None:
+                ds[at] = some
         order = np.argsort(cls.astype(np.uint8), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
         # Sorted by class, the rows of each are one slice.
         order = order[: cuts[-1]]
-        ss, ys, lps = s[order], y[order], np.empty(len(order))
+        ss, ys, lps = s.take(order, axis=0), y[order] % CLASS_SIZE, np.empty(len(order))
         dss = None if ds is None else np.empty_like(ss)
-        each = np.arange(len(order))
         for c, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if lo == hi:
                 continue
-            sc = ss[lo:hi]
-            x = sc @ wo[c]
-            x += bo[c]
-            k, r = ys[lo:hi] - c * CLASS_SIZE, each[: hi - lo]
-            own = x[r, k]
-            e, sums = _softmax(x)
-            lps[lo:hi] = own - np.log(sums)
-            if grads is not None:
-                d = e
-                d /= sums[:, None]
-                d[r, k] -= 1
-                grads[4][c] += sc.T @ d
-                grads[5][c] += d.sum(0)
-                dss[lo:hi] = d @ wo[c].T
+            lps[lo:hi], some = _softmax(ss[lo:hi], wo[c], bo[c], ys[lo:hi], grads and (grads[4][c], grads[5][c]))
+            if dss is not None:
+                dss[lo:hi] = some
         out[order] += lps
         if ds is not None:
             ds[order] += dss
@@ -186,46 +223,69 @@ class Net:
     def back(self, x: np.ndarray, trace: list, ds: np.ndarray, grads: list[np.ndarray]) -> None:
         n = HIDDEN
         u = self.w[1]
-        uzr, un = np.ascontiguousarray(u[:, : 2 * n].T), np.ascontiguousarray(u[:, 2 * n :].T)
-        dg = np.empty((*x.shape, 3 * n), dtype=np.float32)
+        uz, ur, un = (np.ascontiguousarray(u[:, i * n : i * n + n].T) for i in range(3))
+        dg = np.empty((3, *x.shape, n), dtype=np.float32)
         dh = np.zeros_like(trace[0][0])
         for t in range(len(x) - 1, -1, -1):
             h, z, r, rh, c = trace[t]
-            dh = dh + ds[t]
-            g = dg[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            g[:, 2 * n :] = dc
+            dh += ds[t]
+            dz, dr, dc = dg[:, t]
+            free = 1 - z
+            free *= dh  # what goes by the candidate
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= free
+            np.subtract(h, c, out=dz)
+            dz *= z
+            dz *= free
             drh = dc @ un
-            g[:, :n] = dh * (h - c) * z * (1 - z)
-            g[:, n : 2 * n] = drh * h * r * (1 - r)
-            dh = dh * z + drh * r + g[:, : 2 * n] @ uzr
-        flat = dg.reshape(-1, 3 * n)
+            np.subtract(1, r, out=dr)
+            dr *= rh
+            dr *= drh
+            dh *= z
+            drh *= r
+            dh += drh
+            dh += dz @ uz
+            dh += dr @ ur
+        flat = np.empty((x.size, 3 * n), dtype=np.float32)
         hs = np.concatenate([t[0] for t in trace])
         rhs = np.concatenate([t[3] for t in trace])
-        grads[1][:, : 2 * n] += hs.T @ flat[:, : 2 * n]
-        grads[1][:, 2 * n :] += rhs.T @ flat[:, 2 * n :]
+        for i, (d, by) in enumerate(zip(dg.reshape(3, -1, n), (hs, hs, rhs), strict=True)):
+            grads[1][:, i * n : i * n + n] += by.T @ d
+            flat[:, i * n : i * n + n] = d
         ids = x.ravel()
         order = np.argsort(ids.astype(np.uint16), kind="stable")
         sorted_ids = ids[order]
         first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-        grads[0][sorted_ids[first]] += np.add.reduceat(flat[order], first, axis=0)
+        grads[0][sorted_ids[first]] += np.add.reduceat(flat.take(order, axis=0), first, axis=0)
 
     def update(self, grads: list[np.ndarray], tokens: int, rate: float) -> None:
         self.t += 1
-        norm = float(np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads))) / tokens
+        norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads))) / tokens
         scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)) / tokens)
         step = rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for w, m, v, g in zip(self.w, self.m, self.v, grads, strict=True):
-            g = g * scale
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.01) * (g * g - v)
-            w -= np.float32(step) * m / (np.sqrt(v) + np.float32(1e-6))
+            # m += 0.1 (g - m), v += 0.01 (g g - v), w -= step m / (sqrt(v) + 1e-6)
+            g *= scale
+            d = g - m
+            d *= np.float32(0.1)
+            m += d
+            np.multiply(g, g, out=d)
+            d -= v
+            d *= np.float32(0.01)
+            v += d
+            np.sqrt(v, out=d)
+            d += np.float32(1e-6)
+            np.divide(m, d, out=d)
+            d *= np.float32(step)
+            w -= d
 
     def run(self, texts: list[np.ndarray], rate: float = 0.0) -> np.ndarray:
         """log10 probability of each text; with a rate, the net also learns, window by window.
 
         Texts lie side by side, longest first, and keep their states from window
-        to window until they end.
+        to window until they end. How long windows are matters for learning only;
+        where there is none, they hold as many tokens however few texts are left.
         """
         total = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
@@ -241,7 +301,8 @@ class Net:
             at, end = 0, int(size[0])
             while at < end:
                 live = int(np.searchsorted(-size, -at))  # texts longer than ``at``
-                step = np.arange(at, min(at + WINDOW * max(1, min(STRETCH, LANES // 16 // live)), end))[:, None]
+                longer = min(STRETCH, LANES // 16 // live) if rate else LANES // live
+                step = np.arange(at, min(at + WINDOW * max(1, longer), end))[:, None]
                 at += len(step)
                 inside = step < size[:live]
                 y = np.where(inside, flat_texts[np.where(inside, begin[:live] + step, 0)], -1)
@@ -251,15 +312,15 @@ class Net:
                 x[1:] = np.where(y[:-1] < 0, self.start, y[:-1])
                 s, trace = self.steps(x, h[:live], bool(rate))
                 h, last = s[-1], y[-1]
-                known = y.ravel() >= 0
+                known = np.flatnonzero(y.ravel() >= 0)
                 flat = s.reshape(-1, HIDDEN)
                 grads = [np.zeros_like(a) for a in self.w] if rate else None
-                lp, ds = self.loss(flat[known], y.ravel()[known], grads)
+                lp, ds = self.loss(flat.take(known, axis=0), y.ravel()[known], grads)
                 if rate:
                     d = np.zeros_like(flat)
                     d[known] = ds
                     self.back(x, trace, d.reshape(s.shape), grads)
-                    self.update(grads, int(known.sum()), rate)
+                    self.update(grads, len(known), rate)
                 each = np.zeros(len(flat))
                 each[known] = lp
                 total[block[:live]] += each.reshape(steps, live).sum(0)
@@ -298,18 +359,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """Rows (``w``, ``c``): how often each token is in the texts of ``docs`` (doc_id, text)."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["w", "c"])
-
         for b in rows:
-            for t in b.column(1):
-                seen.update(words(t.as_py()))
-                if len(seen) > FLUSH_WORDS:
-                    yield out()
-                    seen = Counter()
-        yield out()
+            for lo, hi, found, _ in split(b.column(1)):
+                seen = found.value_counts()
+                yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], names=["w", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([hi - lo], pa.int64())], names=["w", "c"])
 
     return docs.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -318,11 +372,11 @@ def _by_shape(counts: DataFrame, frequent: set[bytes]) -> list[int]:
     """For each shape: training tokens plus distinct words plus one, without the frequent words."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [0] * SHAPES
+        sums = np.zeros(SHAPES, dtype=np.int64)
+        listed = pc.SetLookupOptions(value_set=pa.array(list(frequent), pa.binary()))
         for b in rows:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if w not in frequent:
-                    sums[shape(w)] += c + 1
+            others = b.filter(pc.invert(pc.is_in(b.column(0), options=listed)))
+            np.add.at(sums, shapes(others.column(0)), others.column(1).to_numpy() + 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES), pa.int32()), pa.array(sums, pa.int64())], names=["s", "n"])
 
     found = {r["s"]: r["n"] for r in counts.mapInArrow(run, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()}
@@ -387,20 +441,46 @@ def encode(rows: DataFrame, model: Model) -> DataFrame:
         from pyspark import TaskContext
 
         m = sent.value
-        base = m.classes * CLASS_SIZE
+        base, none = m.classes * CLASS_SIZE, len(m.index)
+        listed = pc.SetLookupOptions(value_set=pa.array(list(m.index), pa.binary()))
         shape_log = np.log10(np.array(m.shape_total, dtype=np.float64))
         number = TaskContext.get().partitionId() << 40
         for b in batches:
-            out = []
-            for t, teach in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                w = words(t.as_py())
-                ids, known, places = m.ids(w)
-                rest = Counter(w[i] for i in places.tolist())
+            for lo, hi, found, sizes in split(b.column(1)):
+                n, ends = hi - lo, np.cumsum(sizes)
+                begins = ends - sizes
+                at = np.full(ends[-1], m.index.get(END, none))
+                inner = np.ones(len(at), dtype=bool)
+                inner[ends - 1] = False
+                at[inner] = pc.fill_null(pc.index_in(found, options=listed), none).to_numpy()
+                ids, known = m.numbers[at], m.logs[at]
+                # Words beyond the table: each with the text that it is in and how often it is there.
+                beyond = np.flatnonzero(at == none)
+                owner = np.searchsorted(ends, beyond, side="right")
+                places = np.where(inner[beyond], beyond - owner, len(found))
+                coded = pa.concat_arrays([found, pa.array([END], pa.binary())]).take(pa.array(places)).dictionary_encode()
+                kinds, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+                ids[beyond] = base + shapes(kinds)[code]
+                pairs, times = np.unique(owner * max(1, len(kinds)) + code, return_counts=True)
+                of, code = np.divmod(pairs, max(1, len(kinds)))
+                cuts = pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32())
                 rare = ids >= base
-                out.append((number, teach, len(w), len(w) - len(places), float(known.sum()), float(known[rare].sum() - shape_log[ids[rare] - base].sum()), ids.astype("<u2").tobytes(), list(rest), list(rest.values())))
-                number += 1
-            cols = list(zip(*out, strict=True)) if out else [[]] * len(_CODED)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, (_, _, k) in zip(cols, _CODED, strict=True)]], names=names)
+                logs = np.zeros(len(at))
+                logs[rare] = known[rare] - shape_log[ids[rare] - base]
+                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.array(np.r_[0, 2 * ends], pa.int32()).buffers()[1], pa.py_buffer(ids.astype("<u2"))])
+                cols = [
+                    np.arange(number, number + n),
+                    b.column(2).slice(lo, n),
+                    sizes,
+                    sizes - np.bincount(owner, minlength=n),
+                    np.add.reduceat(known, begins),
+                    np.add.reduceat(logs, begins),
+                    raw,
+                    pa.ListArray.from_arrays(cuts, kinds.take(pa.array(code))),
+                    pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), *[c if isinstance(c, pa.Array) else pa.array(c, k) for c, (_, _, k) in zip(cols, _CODED, strict=True)]], names=names)
+                number += n
 
     return rows.select("doc_id", "text", "teach").mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{n} {t}" for n, t, _ in _CODED))
 

@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sluice.llm import lm
 
@@ -135,3 +137,83 @@ def test_scores_equal_a_plain_pass_whatever_the_partitioning(spark, docs, rows,
 def test_shapes():
     assert {lm.shape(w.encode()) for w in ("a", "abcdef", "abcdefghi", "x" * 20, "é", "a.", "é.", "…")} <= set(range(lm.SHAPES))
     assert lm.words(None) == [lm.END] == lm.words("") and lm.words("A É\tb") == [b"a", "É".encode(), b"b", lm.END]
+
+
+ODD = ["".join(map(chr, range(1, 300))), "", " ", " a  b ", None, "a\x00b c", "É x\x85y\xa0z", "\x1c\x1d\x1e\x1fq A\x0bB\x0cC\rD\n", "x" * 900, " " * 900, "K k İ"]
+
+
+def test_texts_cut_together_give_the_words_of_each(monkeypatch, rows):  # noqa: ANN001
+    texts = [*ODD, *(t for _, t in rows)]
+    column = pa.array(["left out", *texts], pa.string()).slice(1)
+    for most in (1, 64, 1 << 20):
+        monkeypatch.setattr(lm, "SPLIT_BYTES", most)
+        done = 0
+        for lo, hi, found, sizes in lm.split(column):
+            want = [lm.words(t) for t in texts[lo:hi]]
+            assert lo == done < hi and sizes.tolist() == [len(w) for w in want] and found.to_pylist() == [x for w in want for x in w[:-1]]
+            done = hi
+        assert done == len(texts)
+
+
+def test_counting_cuts_no_text_one_by_one(monkeypatch, rows):  # noqa: ANN001
+    class Frame:
+        def mapInArrow(self, run, _):  # noqa: ANN001, ANN202, N802
+            self.run = run
+            return self
+
+        groupBy = agg = lambda self, *_: self  # noqa: E731, N815
+
+    texts = [*ODD, *(t for _, t in rows)]
+    want = Counter(x for t in texts for x in lm.words(t))
+    monkeypatch.setattr(lm, "words", None)
+    got: Counter[bytes] = Counter()
+    for b in lm.word_counts(Frame()).run([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])]):
+        for w, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            got[w] += c
+    assert got == want
+
+
+def test_scoring_takes_long_windows_where_few_texts_are_left(monkeypatch):  # noqa: ANN001
+    classes, calls = 2, []
+    net = lm.Net(lm.Weights.fresh(classes, np.ones(classes * lm.CLASS_SIZE + lm.SHAPES)), classes)
+    loss = net.loss
+    monkeypatch.setattr(net, "loss", lambda *a: calls.append(len(a[1])) or loss(*a))
+    texts = [np.random.default_rng(7).integers(0, net.start, size=n) for n in (40_000, 9_000, 30)]
+    got = net.run(texts)
+    assert sum(calls) == sum(map(len, texts)) and len(calls) <= 4 and max(calls) <= lm.WINDOW * lm.LANES
+    monkeypatch.setattr(lm, "LANES", 1)
+    assert np.allclose(got, net.run(texts), rtol=1e-5)
+
+
+def test_encoded_rows_equal_those_of_single_words(spark, rows):  # noqa: ANN001
+    texts = [*ODD, *(t for _, t in rows)]
+    counts = Counter(x for t in texts for x in lm.words(t))
+    for end in (True, False):
+        top = [w for w, _ in counts.most_common(150) if w != lm.END] + [lm.END] * end
+        numbers = np.array([*(i if i < 64 else 64 + lm.shape(w) for i, w in enumerate(top)), 64], dtype=np.int64)
+        logs = np.log10(np.array([*(counts[w] for w in top), 0]) + 1.0)
+        m = lm.Model({w: i for i, w in enumerate(top)}, numbers, logs, 1, b"", 0, 0, list(range(5, 5 + lm.SHAPES)))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("teach", F.col("doc_id") % 2 == 0)
+        got = {r["doc_id"]: r for r in lm.encode(df.coalesce(2), m).collect()}
+        assert len(got) == len(texts) == len({r["row"] for r in got.values()})
+        for i, t in enumerate(texts):
+            w, r = lm.words(t), got[i]
+            ids, known, places = m.ids(w)
+            rare = sum(known[k] - math.log10(m.shape_total[ids[k] - 64]) for k in range(len(w)) if ids[k] >= 64)
+            assert (r["teach"], r["n_tokens"], r["n_known"]) == (i % 2 == 0, len(w), len(w) - len(places))
+            assert np.frombuffer(r["ids"], "<u2").tolist() == ids.tolist()
+            assert dict(zip(map(bytes, r["rest"]), r["times"], strict=True)) == Counter(w[k] for k in places.tolist())
+            assert math.isclose(r["base"], known.sum(), abs_tol=1e-7) and math.isclose(r["rare"], rare, abs_tol=1e-7)
+
+
+def test_shapes_of_an_array_are_those_of_its_words(rows):  # noqa: ANN001
+    found = sorted({x for t in [*ODD, *(t for _, t in rows)] for x in lm.words(t)})
+    column = pa.array(found, pa.binary())
+    for part in (column, column.slice(5, 40), column.slice(len(found))):
+        assert lm.shapes(part).tolist() == [lm.shape(w) for w in part.to_pylist()]
+
+
+def test_a_table_that_teaches_nothing(spark):  # noqa: ANN001
+    out = lm.score(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
+    assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) for r in sorted(out, key=lambda r: -r["n_tokens"])] == [(3, 0, 0, False), (1, 0, 0, False)]
+    assert all(r["base_score"] == 0 and math.isfinite(r["score"]) for r in out)
